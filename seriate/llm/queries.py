@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriate.llm.bpe import encode_column
+from seriate.llm.leaks import leaked_spans, without_leaks
 from seriate.llm.quantiles import K, RANK_ERROR, build_sketches, merge_sketches, sketch_quantiles
 from seriate.llm.topn import top_n
 from seriate.operators.dedupe import once_per_id
@@ -69,10 +71,48 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("location_id", F.date_format("pickup_date", "yyyy-MM-dd").alias("pickup_day"), "trip_id")
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document's text."""
+    return encode_column(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p7_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the corpus by language and source."""
+    docs = _table(spark, sf, "documents")
+    counts = encode_column(docs, "doc_id", "text").select("doc_id", F.size("ids").alias("n_tokens"))
+    return docs.select("doc_id", "lang", "source").join(counts, "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_spans(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold ten or more consecutive words of a test item, with the item."""
+    return _spans(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The shared runs of words."""
+    return _spans(spark, sf)
+
+
+def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The test items that leaked, with the documents that hold them."""
+    found = p8_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return _table(spark, sf, "eval_items").select("item_id", "suite").join(found, "item_id")
+
+
+def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """What stays of the leaking documents."""
+    cleaned = without_leaks(_table(spark, sf, "documents"), "doc_id", "text", _spans(spark, sf))
+    return cleaned.select("doc_id", "removed_words", "share", "dropped", F.concat_ws(" ", "words").alias("kept_text"))
+
+
 _ONCE = "trips AS (SELECT trip_id, any_value(PULocationID) AS PULocationID, any_value(tpep_pickup_datetime) AS pickup, any_value(total_amount) AS total_amount, any_value(trip_distance) AS trip_distance, any_value(fare_amount) AS fare_amount FROM nyctx100 GROUP BY trip_id)"
 _VALUES = f"{_ONCE}, vals AS (SELECT CAST(PULocationID AS BIGINT) AS location_id, 'trip_distance' AS field_name, trip_distance AS x FROM trips UNION ALL SELECT CAST(PULocationID AS BIGINT), 'fare_amount', fare_amount FROM trips)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_from_days, p1_within_bounds, p2_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_from_days, p1_within_bounds, p2_found, p7_ids, p7_lengths, p8_found, p8_spans, p8_leaked_items, p8_cleaned)}
 
 ORACLES = {
     "p1_within_bounds": f"WITH {_VALUES} SELECT location_id, field_name, percentile, count(*) AS n, TRUE AS within_bound FROM vals, (VALUES {', '.join(f"('{p}')" for p in PERCENTILES)}) AS p(percentile) WHERE x IS NOT NULL GROUP BY ALL",
