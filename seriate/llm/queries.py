@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriate.llm.bpe import encode_column
 from seriate.llm.leaks import leaked_spans, without_leaks
 from seriate.llm.quantiles import K, RANK_ERROR, build_sketches, merge_sketches, sketch_quantiles
+from seriate.llm.subjects import assign_subjects
 from seriate.llm.topn import top_n
 from seriate.operators.dedupe import once_per_id
 
@@ -109,10 +110,28 @@ def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select("doc_id", "removed_words", "share", "dropped", F.concat_ws(" ", "words").alias("kept_text"))
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    # A short, fixed list: the subjects asked for.
+    names = sorted(r[0] for r in _table(spark, sf, "subjects").select("subject").where("subject IS NOT NULL").distinct().collect())
+    return assign_subjects(_table(spark, sf, "documents"), _table(spark, sf, "subject_labels"), names)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The subjects that each post's own text is about."""
+    return _subjects(spark, sf).select("doc_id", "subject")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts per subject, and their share of all posts in thousandths."""
+    n_all = _table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_all"))
+    counts = _subjects(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
+    return counts.join(F.broadcast(n_all)).select("subject", "n_posts", F.round(F.col("n_posts") * 1000 / F.col("n_all"), 1).alias("per_thousand"))
+
+
 _ONCE = "trips AS (SELECT trip_id, any_value(PULocationID) AS PULocationID, any_value(tpep_pickup_datetime) AS pickup, any_value(total_amount) AS total_amount, any_value(trip_distance) AS trip_distance, any_value(fare_amount) AS fare_amount FROM nyctx100 GROUP BY trip_id)"
 _VALUES = f"{_ONCE}, vals AS (SELECT CAST(PULocationID AS BIGINT) AS location_id, 'trip_distance' AS field_name, trip_distance AS x FROM trips UNION ALL SELECT CAST(PULocationID AS BIGINT), 'fare_amount', fare_amount FROM trips)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_from_days, p1_within_bounds, p2_found, p7_ids, p7_lengths, p8_found, p8_spans, p8_leaked_items, p8_cleaned)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_from_days, p1_within_bounds, p2_found, p7_ids, p7_lengths, p8_found, p8_spans, p8_leaked_items, p8_cleaned, p9_found, p9_shares)}
 
 ORACLES = {
     "p1_within_bounds": f"WITH {_VALUES} SELECT location_id, field_name, percentile, count(*) AS n, TRUE AS within_bound FROM vals, (VALUES {', '.join(f"('{p}')" for p in PERCENTILES)}) AS p(percentile) WHERE x IS NOT NULL GROUP BY ALL",
