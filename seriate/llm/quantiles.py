@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, FIRST_SECTIONS = 64, 3
+#: Rows of a partition that are grouped at once.
+TOGETHER = 500_000
 #: Stands for a null key.
 LEAST = -(2**63)
 #: Share of the distance from the top that a rank is off by with one standard error, for section size k: RANK_ERROR / k.
@@ -161,32 +163,46 @@ def build_sketches(df: DataFrame, keys: list[str], values: list[str], k: int = K
     """
     schema = pa.schema([*[(c, pa.int64()) for c in keys], ("field_name", pa.string()), ("part", pa.int32()), *_STATE])
 
+    def add(held: dict[tuple, Sketch], rows: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(rows)
+        key_cols = [np.where(table.column(c).is_null().to_numpy(), LEAST, table.column(c).fill_null(0).to_numpy()) for c in keys]
+        order = np.lexsort(key_cols[::-1])
+        sorted_keys = [c[order] for c in key_cols]
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in sorted_keys:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        heads = list(zip(*[c[starts].tolist() for c in sorted_keys]))
+        for f in values:
+            x = table.column(f).to_numpy().astype(float)[order]
+            good = ~np.isnan(x)
+            x, ends = x[good], np.cumsum(np.bincount(group[good], minlength=len(starts)))
+            at = 0
+            for head, end in zip(heads, ends.tolist()):
+                if end > at:
+                    sketch = held.get((*head, f))
+                    if sketch is None:
+                        sketch = held[(*head, f)] = Sketch(k, hash(head) & 0xFFFF)
+                    sketch.update(x[at:end])
+                at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
-        part = 0
+        rows: list[pa.RecordBatch] = []
+        part = n = 0
         for b in batches:
             if not b.num_rows:
                 continue
             part = b.column("part")[0].as_py()
-            key_cols = [np.where(np.asarray(b.column(c).is_null()), LEAST, b.column(c).fill_null(0).to_numpy()) for c in keys]
-            order = np.lexsort(key_cols[::-1])
-            sorted_keys = [c[order] for c in key_cols]
-            new = np.zeros(len(order), bool)
-            new[0] = True
-            for c in sorted_keys:
-                new[1:] |= c[1:] != c[:-1]
-            starts = np.flatnonzero(new)
-            ends = np.r_[starts[1:], len(order)]
-            for f in values:
-                x = b.column(f).to_numpy(zero_copy_only=False).astype(float)[order]
-                good = ~np.isnan(x)
-                for a, e in zip(starts, ends):
-                    v = x[a:e][good[a:e]]
-                    if len(v):
-                        key = (*(int(c[a]) for c in sorted_keys), f)
-                        if key not in held:
-                            held[key] = Sketch(k, hash(key[:-1]) & 0xFFFF)
-                        held[key].update(v)
+            rows.append(b)
+            n += b.num_rows
+            if n >= TOGETHER:
+                add(held, rows)
+                rows, n = [], 0
+        if rows:
+            add(held, rows)
         items = list(held.items())
         for at in range(0, len(items), 2000):
             some = items[at : at + 2000]

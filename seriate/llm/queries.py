@@ -13,6 +13,7 @@ from seriate.llm.quantiles import K, RANK_ERROR, build_sketches, merge_sketches,
 from seriate.llm.subjects import assign_subjects
 from seriate.llm.topn import top_n
 from seriate.operators.dedupe import once_per_id
+from seriate.session import materialize
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 SKETCHED = ["trip_distance", "fare_amount"]
@@ -28,24 +29,24 @@ def _location_values(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _percentiles(sketches: DataFrame) -> DataFrame:
-    q = sketch_quantiles(sketches, ["location_id"], list(PERCENTILES.values()))
-    return q.select("location_id", "field_name", "n", *[F.col("values")[i].alias(name) for i, name in enumerate(PERCENTILES)])
+def _daily(spark: SparkSession, sf: str) -> DataFrame:
+    return merge_sketches(build_sketches(_location_values(spark, sf), ["location_id", "day"], SKETCHED), ["location_id", "day"])
 
 
 def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of distance and fare per pick-up location."""
-    return _percentiles(merge_sketches(build_sketches(_location_values(spark, sf), ["location_id"], SKETCHED), ["location_id"]))
+    """Percentiles of distance and fare per pick-up location, of each day and of all days; the latter (a null day) come from the days' sketches."""
+    days = materialize(_daily(spark, sf), "days")
+    together = merge_sketches(days.withColumn("part", F.pmod("day", F.lit(64))), ["location_id"])
+    qs = list(PERCENTILES.values())
+    per_day = sketch_quantiles(days, ["location_id", "day"], qs)
+    overall = sketch_quantiles(together, ["location_id"], qs).withColumn("day", F.lit(None).cast("long"))
+    day = F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("pickup_day")
+    return per_day.unionByName(overall).select("location_id", day, "field_name", "n", *[F.col("values")[i].alias(name) for i, name in enumerate(PERCENTILES)])
 
 
 def p1_daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
     """Sketches per location and pick-up day: the form in which separate days combine."""
-    return merge_sketches(build_sketches(_location_values(spark, sf), ["location_id", "day"], SKETCHED), ["location_id", "day"])
-
-
-def p1_from_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles per location of all days, combined from the days' sketches."""
-    return _percentiles(merge_sketches(p1_daily_sketches(spark, sf).withColumn("part", F.pmod("day", F.lit(64))), ["location_id"]))
+    return _daily(spark, sf)
 
 
 def p1_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +132,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 _ONCE = "trips AS (SELECT trip_id, any_value(PULocationID) AS PULocationID, any_value(tpep_pickup_datetime) AS pickup, any_value(total_amount) AS total_amount, any_value(trip_distance) AS trip_distance, any_value(fare_amount) AS fare_amount FROM nyctx100 GROUP BY trip_id)"
 _VALUES = f"{_ONCE}, vals AS (SELECT CAST(PULocationID AS BIGINT) AS location_id, 'trip_distance' AS field_name, trip_distance AS x FROM trips UNION ALL SELECT CAST(PULocationID AS BIGINT), 'fare_amount', fare_amount FROM trips)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_from_days, p1_within_bounds, p2_found, p7_ids, p7_lengths, p8_found, p8_spans, p8_leaked_items, p8_cleaned, p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_within_bounds, p2_found, p7_ids, p7_lengths, p8_found, p8_spans, p8_leaked_items, p8_cleaned, p9_found, p9_shares)}
 
 ORACLES = {
     "p1_within_bounds": f"WITH {_VALUES} SELECT location_id, field_name, percentile, count(*) AS n, TRUE AS within_bound FROM vals, (VALUES {', '.join(f"('{p}')" for p in PERCENTILES)}) AS p(percentile) WHERE x IS NOT NULL GROUP BY ALL",
