@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seriate.functions.vector import Order, position
 from seriate.operators import fold as folding
-from seriate.operators.scan import Vec, plain, spread
+from seriate.operators.scan import Vec, add_vectors, plain, spread
 
 
 class OrderedFrame:
@@ -39,13 +39,13 @@ class OrderedFrame:
     def vectors(self, _spread: bool | None = None, **vectors: tuple) -> OrderedFrame:
         """Add vector columns: ``name=(function, column)`` or ``name=(function, width, column)``; ``("position",)`` takes no column.
 
-        A table without keys is one series and is worked on in segments; so is one with keys if ``_spread`` is set, for keys that hold too much.
+        Whether long series are worked on in segments is chosen by the input's size and its keys, unless ``_spread`` says.
         """
         vecs = [Vec(name, spec[0], spec[-1] if len(spec) > 1 else None, spec[1] if len(spec) > 2 else None) for name, spec in vectors.items()]
         if not self.order.by:
             raise ValueError("an order is needed: use assuming()")
-        far = not self.order.keys if _spread is None else _spread
-        return OrderedFrame((spread if far else plain)(self.df, self.order, vecs), self.order)
+        how = add_vectors if _spread is None else spread if _spread else plain
+        return OrderedFrame(how(self.df, self.order, vecs), self.order)
 
     def reduce(self, **aggregates: Column) -> DataFrame:
         """Aggregates per key, or of the whole table."""

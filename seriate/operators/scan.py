@@ -18,6 +18,12 @@ from seriate.functions import vector as v
 from seriate.session import materialize
 
 
+#: An input of no more than so many bytes, by Catalyst's estimate, is sorted as one series in one task; with keys, it can have no key too large for one.
+ONE_TASK_BYTES, KEYED_BYTES = 64 << 20, 1 << 30
+#: A key with more rows than this is worked on in segments.
+HOT_ROWS = 5_000_000
+
+
 @dataclass(frozen=True)
 class Vec:
     """A column to add: ``function`` of ``column``, moving over ``w`` rows if given."""
@@ -47,6 +53,20 @@ def plain(df: DataFrame, order: v.Order, vecs: list[Vec]) -> DataFrame:
     return df.select("*", *[column(x).alias(x.name) for x in vecs])
 
 
+def add_vectors(df: DataFrame, order: v.Order, vecs: list[Vec]) -> DataFrame:
+    """The columns by the cheaper of :func:`plain` and :func:`spread`; the results are the same.
+
+    Small inputs are planned as plain windows at once. Of a large keyed one the rows per key are counted first (a pass over the keys, combined on the
+    map side); it is worked on in segments if a key is hot. A large table that is a single series always is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= (KEYED_BYTES if order.keys else ONE_TASK_BYTES):
+        return plain(df, order, vecs)
+    if order.keys and not df.groupBy(*order.keys).count().where(F.col("count") > HOT_ROWS).limit(1).count():
+        return plain(df, order, vecs)
+    return spread(df, order, vecs)
+
+
 def spread(df: DataFrame, order: v.Order, vecs: list[Vec], partitions: int | None = None) -> DataFrame:
     """The same columns as :func:`plain`, for series of any length; the order must have no ties within a series, or ties are broken arbitrarily.
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from seriate.functions.vector import RUNNING, SHIFTED, Order
 from seriate.operators.fold import group_fold
-from seriate.operators.scan import Vec, plain, spread
+from seriate.operators.scan import Vec, add_vectors
 from seriate.plans import ast as a
 from seriate.plans.functions import Interpreter, inlinable, inline
 from seriate.plans.render import Renderer, children, quote, replace, spark_type, walk
@@ -510,7 +510,7 @@ class _Stage:
                     vecs.append(Vec(name, c.name, self.column(c.args[0])))
             if vecs:
                 self.need_order()
-                self.df = (plain if self.order.keys else spread)(self.df, self.order, vecs)
+                self.df = add_vectors(self.df, self.order, vecs)
             for c in todo:
                 if c.name not in VECTOR and c.name not in ("first", "last"):
                     self.value(done[c].parts[0], c)
@@ -595,7 +595,7 @@ class _Stage:
         """A call of a function over the arrays of a group, in Arrow batches of groups."""
         engine = self.lowering.engine
         literals = {i: x.value for i, x in enumerate(args) if isinstance(x, a.Lit)}
-        columns = [x for x in args if not isinstance(x, a.Lit)]
+        columns, n_args = [x for x in args if not isinstance(x, a.Lit)], len(args)
         module = engine.modules.get(c.name)
         if module is not None:
             kind, run = T._parse_datatype_string(spark_type(module.returns)), module.call
@@ -618,7 +618,7 @@ class _Stage:
             out = []
             for row in zip(*series):
                 it = iter(row)
-                out.append(run(*[literals[i] if i in literals else vector(next(it)) for i in range(len(args))]))
+                out.append(run(*[literals[i] if i in literals else vector(next(it)) for i in range(n_args)]))
             return pd.Series(out)
 
         return over_groups(*columns)
