@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriate.functions.vector import Order
 
@@ -63,10 +66,14 @@ def subvec(a: Column | str, start: int, end: int | None = None) -> Column:
     return F.slice(a, start + 1, F.size(a) if end is None else F.lit(max(end - start, 0)))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _prefix_sums(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: None if x is None else np.nancumsum(np.array(x, dtype=float)))
+
+
 def array_sums(a: Column | str) -> Column:
     """Prefix sums of an array; null elements add nothing."""
-    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + F.coalesce(x, F.lit(0.0))))
-    return F.aggregate(a, F.array().cast("array<double>"), step)
+    return _prefix_sums((F.col(a) if isinstance(a, str) else a).cast("array<double>"))
 
 
 def array_deltas(a: Column | str) -> Column:

@@ -33,6 +33,10 @@ class Vec:
     column: str | None = None
     w: int | None = None
 
+    def __post_init__(self):
+        if self.w is not None and self.w < 1:
+            raise ValueError("a moving window holds at least one row")
+
 
 def _same(keys: tuple[str, ...], left: str, right: str) -> Column:
     cond = F.lit(True)

@@ -63,6 +63,8 @@ class Lowering:
         parts = [*[i.value for i in q.items], *[k.value for k in q.group if isinstance(k, a.Item)], *([q.having] if q.having is not None else []), *[o.value for o in q.order], *([q.where] if q.where is not None else [])]
         if any(self.is_reduced(n) and any(self.is_reduced(m) for c in children(n) for m in walk(c)) for p in parts for n in walk(p)):
             return True  # an aggregate of an aggregate
+        if not q.group and any(self.kind(i.value, []) == "vector" and any(self.is_reduced(n) for n in walk(i.value)) for i in q.items):
+            return True  # a vector with an aggregate
         return bool(q.assuming) or any(self.is_special(n) for p in parts for n in walk(p))
 
     def folds(self, q: a.Select) -> bool:
