@@ -6,8 +6,8 @@ third of all rows is spread over many tasks, each holding a stretch of its serie
 * normal level: the median of the source's positive readings (exact, over all its stretches);
 * model of deviations from it, ``y[t] = phi * y[t-1] + e[t]``, phi by iterated Huber weights, scale by the median absolute deviation;
 * additive outliers: ``|e[t]|`` over the threshold; they are replaced by their prediction and the model is fitted again;
-* level shifts: the largest jump between the means of the windows before and after a place, taken out if it is significant, again
-  and again; readings that are outliers before but not after that are reported as ``level_shift``;
+* level shifts: the largest jump between the windows before and after a place, taken out if it is significant, again and again;
+  readings that are outliers before but not after that are reported as ``level_shift``;
 * stuck runs: equal positive consecutive readings; runs over the edge of a stretch are put together from the edges alone;
 * physical limits, given per field.
 
@@ -70,28 +70,31 @@ def _lag(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shift(z: np.ndarray, group: np.ndarray, starts: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """The level of each reading after significant shifts, 0 where there is none."""
-    n, w = len(z), SHIFT_WINDOW
+def _shift(y: np.ndarray, cap: np.ndarray, group: np.ndarray, starts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The level of each reading after significant shifts, 0 where there is none.
+
+    A place is found by window means of values clipped at ``cap``, so that no spike makes a shift; how far the level moved is the difference
+    of the windows' medians.
+    """
+    n, w = len(y), SHIFT_WINDOW
     level = np.zeros(n)
-    ends = np.r_[starts[1:], n]
-    first, last = starts[group], ends[group]
+    first, last = starts[group], np.r_[starts[1:], n][group]
     at = np.arange(n)
-    inside = (at - first >= w) & (last - at >= w)
-    if not inside.any():
+    t = at[(at - first >= w) & (last - at >= w)]
+    if not len(t):
         return level
-    t = at[inside]
+    around = np.arange(w)
     for _ in range(SHIFT_ROUNDS):
-        c = np.r_[0, np.cumsum(z - level)]
-        jump = (c[t + w] - 2 * c[t] + c[t - w]) / w
-        score = np.abs(jump) / (scale[group[t]] * np.sqrt(2 / w))
+        rest = y - level
+        c = np.r_[0, np.cumsum(np.clip(rest, -cap, cap))]
+        score = np.abs(c[t + w] - 2 * c[t] + c[t - w]) / w / (scale[group[t]] * np.sqrt(2 / w))
         best = np.lexsort((-score, group[t]))
         top = best[_starts(group[t][best])]
-        top = top[score[top] > THRESHOLD]
+        top = t[top[score[top] > THRESHOLD]]
         if not len(top):
             break
         step = np.zeros(n)
-        step[t[top]] = jump[top]
+        step[top] = np.median(rest[top[:, None] + around], axis=1) - np.median(rest[top[:, None] - 1 - around], axis=1)
         c = np.cumsum(step)
         level += c - (c - step)[starts][group]
     return level
@@ -122,8 +125,7 @@ def fit_series(x: np.ndarray, group: np.ndarray, level: np.ndarray, scale_floor:
         z = np.clip(np.where(outlier, pred, y), -cap[group], cap[group])
     pred = phi[group] * _lag(z, starts)
     raw = np.abs(y - pred) / limit[group]
-    # A shift hides behind cleaned values; it is looked for in the clipped ones.
-    shift = _shift(np.clip(y, -cap[group], cap[group]), group, starts, limit / THRESHOLD)
+    shift = _shift(y, cap[group], group, starts, limit / THRESHOLD)
     return raw, np.where(shift != 0, np.abs(y - pred - shift) / limit[group], raw)
 
 
