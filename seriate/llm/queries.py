@@ -69,7 +69,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """The three trips with the highest total_amount of every pick-up location and day."""
     once = once_per_id(_table(spark, sf, "nyctx100"), "trip_id", ["PULocationID", "tpep_pickup_datetime", "total_amount"])
     trips = once.select(F.col("PULocationID").cast("long").alias("location_id"), F.to_date("tpep_pickup_datetime").alias("pickup_date"), "tpep_pickup_datetime", "trip_id", "total_amount")
-    top = top_n(trips, ["location_id", "pickup_date"], [("total_amount", True), ("tpep_pickup_datetime", False), ("trip_id", False)], 3)
+    top = top_n(trips, ["location_id", "pickup_date"], [("total_amount", True), ("tpep_pickup_datetime", False), ("trip_id", False)], 3, unique=True)
     return top.select("location_id", F.date_format("pickup_date", "yyyy-MM-dd").alias("pickup_day"), "trip_id")
 
 

@@ -201,14 +201,21 @@ def with_usual(levels: DataFrame) -> DataFrame:
 
 
 class LatentModel:
-    """Posts are about a subject or not; given that, the functions' levels are independent. Learned from counts of level patterns."""
+    """Posts are about a subject or not; given that, the functions' levels are independent. Learned from counts of level patterns.
+
+    The labelled posts of a pattern correct the model where its functions are not independent: a pattern's posterior is the mean of the model's, which
+    counts as ``MODEL_WEIGHT`` posts, and of its labelled posts.
+    """
+
+    MODEL_WEIGHT = 5.0
 
     def __init__(self, patterns: list[tuple[tuple[int, ...], int, int, int]], rounds: int = 30, anchor: float = 5.0):
         """``patterns``: levels, number of posts without a label, and of labelled posts that are and are not about the subject."""
         self.prior, self.tables = 0.5, []
+        self.labelled = {levels: (about, other) for levels, _, about, other in patterns}
         width = len(patterns[0][0]) if patterns else 0
         # Before anything is learned: more sentences and a greater share make a subject likelier.
-        belief = {levels: min(0.95, max(0.05, 0.1 + 0.09 * levels[0])) for levels, *_ in patterns}
+        belief = {levels: self._corrected(levels, min(0.95, max(0.05, 0.1 + 0.09 * levels[0]))) for levels, *_ in patterns}
         for _ in range(rounds):
             yes, no = [defaultdict(float) for _ in range(width)], [defaultdict(float) for _ in range(width)]
             n_yes = n_no = 0.0
@@ -224,9 +231,13 @@ class LatentModel:
             self.tables = [{v: math.log((yes[k][v] + 0.5) / (n_yes + 0.5 * len(values[k]))) - math.log((no[k][v] + 0.5) / (n_no + 0.5 * len(values[k]))) for v in values[k]} for k in range(width)]
             belief = {levels: self.posterior(levels) for levels, *_ in patterns}
 
+    def _corrected(self, levels: tuple[int, ...], p: float) -> float:
+        about, other = self.labelled.get(levels, (0, 0))
+        return (self.MODEL_WEIGHT * p + about) / (self.MODEL_WEIGHT + about + other)
+
     def posterior(self, levels: tuple[int, ...]) -> float:
         score = math.log(self.prior / (1 - self.prior)) + sum(t.get(v, 0.0) for t, v in zip(self.tables, levels))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, score))))
+        return self._corrected(levels, 1 / (1 + math.exp(-max(-50.0, min(50.0, score)))))
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], threshold: float = 0.5) -> DataFrame:
@@ -245,12 +256,9 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], thr
     counts = marked.groupBy(*LEVELS).agg(
         F.sum(F.when(F.col("labels").isNull(), 1).otherwise(0)).alias("free"), F.sum(F.when(about, 1).otherwise(0)).alias("about"), F.sum(F.when(~about, 1).otherwise(0)).alias("other")
     )
-    model = LatentModel([(tuple(r[c] for c in LEVELS), r["free"], r["about"], r["other"]) for r in counts.orderBy(*LEVELS).collect()])
-    score = F.lit(math.log(model.prior / (1 - model.prior)))
-    for name, table in zip(LEVELS, model.tables):
-        part = F.lit(0.0)
-        for v, weight in sorted(table.items()):
-            part = F.when(F.col(name) == v, weight).otherwise(part)
-        score = score + part
-    scored = levels.withColumn("probability", 1 / (1 + F.exp(-score)))
-    return scored.where(F.col("probability") >= threshold).groupBy("doc_id", "subject").agg(F.max("probability").alias("probability"))
+    patterns = [(tuple(r[c] for c in LEVELS), r["free"], r["about"], r["other"]) for r in counts.orderBy(*LEVELS).collect()]
+    model = LatentModel(patterns)
+    schema = ", ".join(f"{c} int" for c in LEVELS) + ", probability double"
+    posteriors = docs.sparkSession.createDataFrame([(*p[0], model.posterior(p[0])) for p in patterns], schema)
+    scored = levels.join(F.broadcast(posteriors.where(F.col("probability") >= threshold)), LEVELS)
+    return scored.groupBy("doc_id", "subject").agg(F.max("probability").alias("probability"))

@@ -52,11 +52,11 @@ def order_word(df: DataFrame, col: str, descending: bool) -> Column:
     return F.coalesce(word if descending else F.bitwise_not(word), F.lit(LEAST))
 
 
-def top_n(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], n: int, fan: int = 256) -> DataFrame:
+def top_n(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], n: int, fan: int = 256, unique: bool = False) -> DataFrame:
     """The ``n`` first rows of each group in the order of ``order``, pairs of a column and whether it descends; all rows of smaller groups.
 
     Columns of the result: ``groups``, then the order columns. The last order column should identify a row within its group; rows that agree
-    on all order columns can't be told apart and count once. Rows with a null in a group column or in the first order column (the
+    on all order columns can't be told apart and count once; they are dropped first, unless the caller knows by ``unique`` that there are none. Rows with a null in a group column or in the first order column (the
     score) take no part; nulls in later order columns come last. Any other column is ignored. An empty table gives an empty result.
     """
     if n < 1:
@@ -66,6 +66,8 @@ def top_n(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], n: in
     kept = df.select(*dict.fromkeys([*groups, *names]))
     for c in [*groups, names[0]]:
         kept = kept.where(F.col(c).isNotNull())
+    if not unique:
+        kept = kept.distinct()
     words = [f"__w{i}" for i in range(len(order))]
     coded = kept.select("*", *[order_word(kept, c, d).alias(w) for (c, d), w in zip(order, words)])
     rows = materialize(coded, "coded")
@@ -89,7 +91,7 @@ def top_n(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], n: in
         if first:
             pool, first = materialize(_at_or_above(pool, state, groups, words, fixed).select(*rows.columns), "survivors"), False
     found = _at_or_above(pool, state, groups, words, fixed)
-    return found.select(*groups, *[c for c in names if c not in groups]).distinct()
+    return found.select(*groups, *[c for c in names if c not in groups])
 
 
 def _with_state(rows: DataFrame, state: DataFrame, n_groups: int, groups: list[str]) -> DataFrame:
