@@ -79,122 +79,163 @@ _ARRAY = {
 }
 
 
-class Interpreter:
-    """Runs a function body over arrays. Numbers are numpy scalars, vectors are arrays; ``_builtin_ret`` collects one value per row."""
-
-    #: Loop steps of one call, against bodies that never end.
-    MOST_STEPS = 50_000_000
-
-    def __init__(self, functions: dict[str, a.Function]):
-        self.functions = functions
-        self.statics: dict[str, dict[str, object]] = {}
-
-    def call(self, name: str, args: list):
-        f = self.functions[name]
-        if len(args) != len(f.params):
-            raise ValueError(f"{f.name} takes {len(f.params)} arguments, {len(args)} given")
-        n = max([len(x) for x in args if isinstance(x, np.ndarray)], default=1)
-        scope = dict(zip(f.params, args)) | {"_builtin_len": n, "_builtin_ret": np.full(n, np.nan)}
-        if f.statics and name not in self.statics:
-            self.statics[name] = {s.target.parts[0].lower(): self.value(s.value, scope) for s in f.statics}
-        kept = self.statics.get(name, {})
-        scope |= kept
-        self.steps = 0
-        for s in f.body:
-            self.run(s, scope)
-        for k in kept:
-            kept[k] = scope[k]
-        result = self.value(f.result, scope)
-        return scope["_builtin_ret"] if result is None else result
-
-    def run(self, s, scope: dict) -> None:
-        if isinstance(s, a.Assign):
-            self.assign(s, scope)
-        elif isinstance(s, a.If):
-            for condition, body in s.branches:
-                if self.value(condition, scope):
-                    break
-            else:
-                body = s.otherwise
-            for t in body:
-                self.run(t, scope)
-        elif isinstance(s, a.For):
-            for t in s.start:
-                self.assign(t, scope)
-            while self.value(s.condition, scope):
-                self.steps += 1
-                if self.steps > self.MOST_STEPS:
-                    raise RuntimeError("a loop of a user function takes too many steps")
-                for t in s.body:
-                    self.run(t, scope)
-                for t in s.step:
-                    self.assign(t, scope)
-
-    def assign(self, s: a.Assign, scope: dict) -> None:
-        value = self.value(s.value, scope)
-        if s.op != ":=":
-            value = self.apply(s.op[0], self.value(s.target, scope), value)
-        if isinstance(s.target, a.Index):
-            target = self.value(s.target.value, scope)
-            target[int(self.value(s.target.at, scope))] = value
-        else:
-            scope[s.target.parts[0].lower()] = value
+#: Loop steps of one call, against bodies that never end.
+MOST_STEPS = 50_000_000
+
+
+def _divide(x, y):
+    with np.errstate(all="ignore"):
+        if np.ndim(x) or np.ndim(y):
+            return np.divide(np.asarray(x, float), y)
+        return float(x) / float(y) if y else math.nan
+
+
+def _both(x, y):
+    return x & y() if isinstance(x, np.ndarray) else bool(x) and bool(y())
+
+
+def _either(x, y):
+    return x | y() if isinstance(x, np.ndarray) else bool(x) or bool(y())
+
+
+def _not(x):
+    return ~x if isinstance(x, np.ndarray) else not x
+
+
+def _too_long(steps: int) -> int:
+    if steps > MOST_STEPS:
+        raise RuntimeError("a loop of a user function takes too many steps")
+    return steps + 1
+
+
+class Compiler:
+    """Turns a function into Python over arrays. Numbers are scalars, vectors are arrays; ``_builtin_ret`` collects one value per row."""
+
+    def __init__(self, f: a.Function, functions: dict[str, a.Function]):
+        self.f, self.functions = f, functions
+        self.local = {*f.params, "_builtin_len", "_builtin_ret", *[s.target.parts[0].lower() for s in f.statics]}
+        self.find(f.body)
+        self.lines: list[str] = []
+
+    def find(self, body) -> None:
+        """Names that the body assigns."""
+        for s in body:
+            if isinstance(s, a.Assign):
+                target = s.target
+                while isinstance(target, (a.Index, a.Member)):
+                    target = target.value
+                self.local.add(target.parts[0].lower())
+            elif isinstance(s, a.If):
+                for _, b in s.branches:
+                    self.find(b)
+                self.find(s.otherwise)
+            elif isinstance(s, a.For):
+                self.find((*s.start, *s.step, *s.body))
 
     @staticmethod
-    def apply(op: str, x, y):
-        with np.errstate(all="ignore"):
-            if op == "/":
-                return np.divide(np.asarray(x, float), y)[()] if np.ndim(x) or np.ndim(y) else (float(x) / float(y) if y else math.nan)
-            return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "%": lambda: x % y}[op]()
+    def spell(name: str) -> str:
+        return "v_" + "".join(c if c.isalnum() and c.isascii() or c == "_" else f"_{ord(c):x}_" for c in name.lower())
 
-    def value(self, e, scope: dict):
+    def value(self, e) -> str:
         if isinstance(e, a.Lit):
-            return e.value
+            return repr(e.value)
         if isinstance(e, a.Name):
-            name = e.parts[0].lower()
-            if name not in scope:
-                raise ValueError(f"unknown name {name} in a function")
-            value = scope[name]
+            if e.parts[0].lower() not in self.local:
+                raise ValueError(f"unknown name {e.parts[0]} in function {self.f.name}")
+            out = self.spell(e.parts[0])
             for part in e.parts[1:]:
-                value = self.member(value, part.lower())
-            return value
+                out = self.member(out, part.lower())
+            return out
         if isinstance(e, a.Member):
-            return self.member(self.value(e.value, scope), e.name.lower())
+            return self.member(self.value(e.value), e.name.lower())
         if isinstance(e, a.Index):
-            value, at = self.value(e.value, scope), int(self.value(e.at, scope))
+            value, at = self.value(e.value), f"int({self.value(e.at)})"
             if e.end is None:
-                return value[at]
-            end = self.value(e.end, scope)
-            return value[at : None if end is None else int(end)]
+                return f"{value}[{at}]"
+            return f"{value}[{at}:{'' if e.end == a.Lit(None, 'null') else f'int({self.value(e.end)})'}]"
         if isinstance(e, a.Op):
+            x = [self.value(v) for v in e.args]
             if e.op in ("and", "or"):
-                left = self.value(e.args[0], scope)
-                if not isinstance(left, np.ndarray):
-                    return bool(left) and bool(self.value(e.args[1], scope)) if e.op == "and" else bool(left) or bool(self.value(e.args[1], scope))
-                right = self.value(e.args[1], scope)
-                return left & right if e.op == "and" else left | right
-            x = [self.value(v, scope) for v in e.args]
+                return f"{'_both' if e.op == 'and' else '_either'}({x[0]}, lambda: {x[1]})"
             if e.op == "not":
-                return ~x[0] if isinstance(x[0], np.ndarray) else not x[0]
+                return f"_not({x[0]})"
             if e.op == "neg":
-                return -x[0]
-            if e.op in ("=", "<>", "<", ">", "<=", ">="):
-                return {"=": lambda: x[0] == x[1], "<>": lambda: x[0] != x[1], "<": lambda: x[0] < x[1], ">": lambda: x[0] > x[1], "<=": lambda: x[0] <= x[1], ">=": lambda: x[0] >= x[1]}[e.op]()
-            return self.apply(e.op, *x)
+                return f"(-{x[0]})"
+            if e.op == "/":
+                return f"_divide({x[0]}, {x[1]})"
+            if e.op in ("+", "-", "*", "%", "=", "<>", "<", ">", "<=", ">="):
+                return f"({x[0]} {({'=': '==', '<>': '!='}).get(e.op, e.op)} {x[1]})"
         if isinstance(e, a.Call):
-            args = [self.value(v, scope) for v in e.args]
-            if e.name in scope and isinstance(scope[e.name], np.ndarray):  # x(s, e): a slice
-                return scope[e.name][int(args[0]) : int(args[1])]
+            args = [self.value(v) for v in e.args]
+            if e.name in self.local:  # x(s, e): a slice
+                return f"{self.spell(e.name)}[int({args[0]}):int({args[1]})]"
             if e.name in self.functions:
-                return Interpreter(self.functions).call(e.name, args)
+                return f"_user[{e.name!r}]({', '.join(args)})"
             if e.name in _ARRAY:
-                return _ARRAY[e.name](*args)
-        raise ValueError(f"a function can't use {e!r}")
+                return f"_array[{e.name!r}]({', '.join(args)})"
+        raise ValueError(f"function {self.f.name} can't use {e!r}")
 
     @staticmethod
-    def member(value, name: str):
-        if name == "len":
-            return len(value)
-        if name == "vec":
-            return value
-        raise ValueError(f"unknown member {name}")
+    def member(value: str, name: str) -> str:
+        if name not in ("len", "vec"):
+            raise ValueError(f"unknown member {name}")
+        return f"len({value})" if name == "len" else value
+
+    def body(self, statements, depth: int) -> None:
+        pad = "    " * depth
+        at = len(self.lines)
+        for s in statements:
+            if isinstance(s, a.Assign):
+                value = self.value(s.value)
+                target = self.value(s.target) if isinstance(s.target, a.Index) else self.spell(s.target.parts[0])
+                if s.op == "/=":
+                    value = f"_divide({target}, {value})"
+                elif s.op != ":=":
+                    value = f"{target} {s.op[0]} ({value})"
+                self.lines.append(f"{pad}{target} = {value}")
+            elif isinstance(s, a.If):
+                for i, (condition, b) in enumerate(s.branches):
+                    self.lines.append(f"{pad}{'elif' if i else 'if'} {self.value(condition)}:")
+                    self.body(b, depth + 1)
+                if s.otherwise:
+                    self.lines.append(f"{pad}else:")
+                    self.body(s.otherwise, depth + 1)
+            elif isinstance(s, a.For):
+                self.body(s.start, depth)
+                self.lines.append(f"{pad}while {self.value(s.condition)}:")
+                self.lines.append(f"{pad}    _steps = _too_long(_steps)")
+                self.body((*s.body, *s.step), depth + 1)
+        if len(self.lines) == at:
+            self.lines.append(f"{pad}pass")
+
+    def source(self) -> str:
+        params = ", ".join(map(self.spell, self.f.params))
+        ret, n = self.spell("_builtin_ret"), self.spell("_builtin_len")
+        sizes = ", ".join(f"_size({self.spell(p)})" for p in self.f.params)
+        self.lines = [f"def _f({params}):", f"    {n} = max([{sizes}], default=1)", f"    {ret} = _np.full({n}, _np.nan)", "    _steps = 0"]
+        for s in self.f.statics:
+            name = self.spell(s.target.parts[0])
+            self.lines.append(f"    {name} = _static[{name!r}] if {name!r} in _static else {self.value(s.value)}")
+        self.body(self.f.body, 1)
+        for s in self.f.statics:
+            name = self.spell(s.target.parts[0])
+            self.lines.append(f"    _static[{name!r}] = {name}")
+        self.lines += [f"    _out = {self.value(self.f.result)}", f"    return {ret} if _out is None else _out"]
+        return "\n".join(self.lines)
+
+
+def compile_function(name: str, functions: dict[str, a.Function]):
+    """A Python function of arrays and numbers that does what the function of the dialect says."""
+    user: dict[str, object] = {}
+    size = lambda x: len(x) if isinstance(x, np.ndarray) else 1
+
+    class Late(dict):
+        def __missing__(self, key):
+            self[key] = compile_function(key, functions)
+            return self[key]
+
+    user = Late()
+    scope = {"_divide": _divide, "_both": _both, "_either": _either, "_not": _not, "_too_long": _too_long, "_array": _ARRAY, "_user": user, "_np": np, "_size": size, "_static": {}}
+    exec(Compiler(functions[name], functions).source(), scope)  # noqa: S102 - source made from parsed nodes, names spelt out
+    user[name] = scope["_f"]
+    return scope["_f"]

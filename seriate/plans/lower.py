@@ -20,7 +20,7 @@ from seriate.functions.vector import RUNNING, SHIFTED, Order
 from seriate.operators.fold import group_fold
 from seriate.operators.scan import Vec, add_vectors
 from seriate.plans import ast as a
-from seriate.plans.functions import Interpreter, inlinable, inline
+from seriate.plans.functions import compile_function, inlinable, inline
 from seriate.plans.render import Renderer, children, quote, replace, spark_type, walk
 
 VECTOR = {*RUNNING, *SHIFTED} - {"counts"}
@@ -401,6 +401,7 @@ class Lowering:
         hidden_sort = [f"__sort{n}" for n in range(len(sort_by))]
 
         if not keys and not reduced:
+            exprs = stage.slice_rows(exprs)
             out = stage.df.select(*[F.expr(self.expr(e)).alias(n) for e, n in zip([*exprs, *sort_by], [*names, *hidden_sort])], *[F.col(f"`{c}`").alias(f"__by{n}") for n, (c, _) in enumerate(by)])
             return self.finish(out, q, order, hidden_sort, names, [F.col(f"__by{n}").asc() if up else F.col(f"__by{n}").desc() for n, (_, up) in enumerate(by)])
         # 4. Aggregates, and arrays for what stays a vector.
@@ -565,9 +566,12 @@ class _Stage:
 
         outer = [replace(e, one) for e in exprs]
         vectors = []
-        for i, (e, o) in enumerate(zip(exprs, outer)):
+        for i, e in enumerate(exprs):
             if low.kind(e, key_nodes) == "vector":
-                vectors.append((i, folds.setdefault(self.column(e), f"__f{len(folds)}")))
+                # Parts of the vector, and its distinct values, are taken of the folded array.
+                whole = self.of_vector(e)
+                name = folds.setdefault(self.column(e.args[0] if whole else e), f"__f{len(folds)}")
+                vectors.append((i, F.expr(low.expr(a.Call(e.name, (a.Name((name,)), *e.args[1:])))) if whole else F.col(name)))
         columns = [self.reduced(c).alias(n) for c, n in aggs.items()]
         if folds:
             order = Order(self.order.by, tuple(keys))
@@ -579,7 +583,26 @@ class _Stage:
         for c, (name, args) in calls.items():
             df = df.withColumn(name, self.array_call(c, [x if isinstance(x, a.Lit) else F.col(x) for x in args]))
         out = dict(vectors)
-        return df.select(*[(F.col(out[i]) if i in out else F.expr(low.expr(e))).alias(n) for i, (e, n) in enumerate(zip(outer, names))])
+        return df.select(*[(out[i] if i in out else F.expr(low.expr(e))).alias(n) for i, (e, n) in enumerate(zip(outer, names))])
+
+    def of_vector(self, e) -> bool:
+        """Whether the expression is a function of a whole vector, not of one value."""
+        return isinstance(e, a.Call) and e.name in ("subvec", "distinct") and not isinstance(self.df.select(F.expr(self.lowering.expr(e.args[0])).alias("x")).schema["x"].dataType, T.ArrayType)
+
+    def slice_rows(self, exprs: list) -> list:
+        """Without keys the part of a vector is a part of the rows, the same for all columns."""
+        parts = [e for e in exprs if self.of_vector(e) and e.name == "subvec"]
+        if not parts:
+            return exprs
+        if len(parts) != len(exprs) or len({e.args[1:] for e in parts}) > 1:
+            raise ValueError("without GROUP BY all columns must be the same part of their vectors")
+        self.need_order()
+        bounds = [x.value for x in parts[0].args[1:]]
+        values = [self.column(e.args[0]) for e in parts]
+        self.df = add_vectors(self.df, self.order, [Vec("__place", "position")]).where(F.col("__place") >= bounds[0])
+        if len(bounds) > 1:
+            self.df = self.df.where(F.col("__place") < bounds[1])
+        return [a.Name((v,)) for v in values]
 
     def reduced(self, c: a.Call):
         low = self.lowering
@@ -608,8 +631,15 @@ class _Stage:
             kind = T.ArrayType(T.DoubleType()) if per_row or f.result == a.Lit(None, "null") else T.DoubleType()
             name = c.name
 
+            if len(c.args) != len(f.params):
+                raise ValueError(f"{f.name} takes {len(f.params)} arguments, {len(c.args)} given")
+            compile_function(name, functions)  # errors show when the query is planned
+            made: dict = {}
+
             def run(*values):
-                got = Interpreter(functions).call(name, list(values))
+                if name not in made:
+                    made[name] = compile_function(name, functions)
+                got = made[name](*values)
                 return [None if v != v else float(v) for v in got] if isinstance(got, np.ndarray) else None if got is None or got != got else float(got)
 
         def vector(v):

@@ -55,6 +55,13 @@ def load_delimited(spark: SparkSession, path: str, columns: list[tuple[str, str]
     return raw.select(*out, *([F.monotonically_increasing_id().alias("_rowid")] if row_ids else []))
 
 
+def load_by_header(spark: SparkSession, path: str, columns: list[tuple[str, str]], types: list[T.DataType], sep: str = ",") -> DataFrame:
+    """The declared columns of a delimited file found by the names in its header, whatever their order; further columns are ignored, absent ones are null."""
+    raw = spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    there = {c.strip().lower(): c for c in raw.columns}
+    return raw.select(*[(parse_cell(F.col(f"`{there[n.lower()]}`"), d, k) if n.lower() in there else F.lit(None).cast(k)).alias(n) for (n, d), k in zip(columns, types)])
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> None:
     """Write a result with a header: a folder of part files in the order of the rows. ``single_file`` brings it into one part, for small results."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True, sep=sep)

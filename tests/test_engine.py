@@ -85,6 +85,28 @@ def test_function_with_loops(engine):
     assert rows(engine.sql("SELECT longest(a) AS n FROM t ASSUMING ASC a")) == [(3.0,)]
 
 
+def test_function_bodies(spark):
+    import numpy as np
+
+    from seriate.plans.functions import compile_function
+
+    e = Engine(spark)
+    e.run("""
+    FUNCTION fact(n) { r := 1; for (i := 2, k := 0; i <= n; i += 1, k += 1) r *= i; r }
+    FUNCTION calls(x) { static n := 10; n += 1; { n -= 0; } n }
+    FUNCTION mix(x, s) { y := x[1:3]; z := x(0, 2); q := x.vec; q2 := y; q2 /= 2; if (not (s > 1) or x[0] = 1 and s <> 3) { sum(y) - first(z) } else { w := 1; } _builtin_ret[0] := w; avg(q2) + fact(3) % 4 }
+    AGGREGATION FUNCTION forever(x) { for (i := 0; i < 1; i += 0) { y := x; } y }
+    FUNCTION wrong(x) { x[0] + nobody }""")
+    assert compile_function("fact", e.functions)(5) == 120
+    counted = compile_function("calls", e.functions)
+    assert [counted(np.ones(2)) for _ in range(3)] == [11, 12, 13]
+    with pytest.raises(UnboundLocalError):
+        compile_function("mix", e.functions)(np.array([1.0, 2.0, 4.0]), 2)
+    assert compile_function("mix", e.functions)(np.array([2.0, 2.0, 4.0]), 3) == 1.5 + 2
+    with pytest.raises(ValueError, match="nobody"):
+        compile_function("wrong", e.functions)
+
+
 def test_nested_windows_and_expressions(engine):
     engine.run(STOCKS)
     got = rows(engine.sql("SELECT max(sums(2, deltas(price))) AS m, min(price) + count(*) AS c FROM stocks ASSUMING ASC timestamp"))
