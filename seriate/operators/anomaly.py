@@ -131,9 +131,9 @@ def fit_series(x: np.ndarray, group: np.ndarray, level: np.ndarray, scale_floor:
 
 _OUT = pa.schema([
     ("id", pa.int64()), ("field", pa.int32()), ("source", pa.int64()), ("kinds", pa.int32()), ("ratio", pa.float64()),
-    ("pid", pa.int32()), ("side", pa.int32()), ("run", pa.int64()), ("value", pa.float64()),
+    ("pid", pa.int64()), ("side", pa.int32()), ("run", pa.int64()), ("value", pa.float64()),
 ])
-_OUT_SQL = "id long, field int, source long, kinds int, ratio double, pid int, side int, run long, value double"
+_OUT_SQL = "id long, field int, source long, kinds int, ratio double, pid long, side int, run long, value double"
 NEGATIVE, TOO_FAST, STUCK, SPIKE, SHIFT, FAR = 1, 2, 4, 8, 16, 32
 HEAD, TAIL, BOTH = 0, 1, 2
 
@@ -246,7 +246,8 @@ def exact_medians(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def implausible_readings(
-    df: DataFrame, source: str, time: str, row_id: str, fields: list[Reading], end_time: str | None = None, run_length: int = 8, ratio: float = 10.0
+    df: DataFrame, source: str, time: str, row_id: str, fields: list[Reading], end_time: str | None = None, run_length: int = 8, ratio: float = 10.0,
+    stretch_rows: int = 1_000_000,
 ) -> DataFrame:
     """Readings of ``fields`` that are impossible, stuck or far from their source's normal, one row per row id and field.
 
@@ -267,13 +268,14 @@ def implausible_readings(
         F.col(source).cast("long").alias("source"), F.col(time).alias("start"), F.col(row_id).cast("long").alias("id"),
         seconds.cast("double").alias("seconds"), *[F.col(f.name).cast("double").alias(f"x{k}") for k, f in enumerate(fields)],
     )
-    # Copies of a row have the same key and so meet in one range partition; there they lie side by side.
+    # Copies of a row have the same key and so meet in one range partition; there they lie side by side. A partition is cut into stretches
+    # of bounded size, each a file.
     parted = flat.repartitionByRange("source", "start", "id").sortWithinPartitions("source", "start", "id")
-    parted = parted.withColumn("pid", F.spark_partition_id())
-    stretch = materialize(parted.mapInArrow(_drop_copies, parted.schema), "stretches", row_group_mb=1024)
+    parted = parted.withColumn("pid", F.spark_partition_id().cast("long"))
+    stretch = materialize(parted.mapInArrow(_cut(stretch_rows), parted.schema), "stretches", whole_files=stretch_rows)
 
     spread = stretch.groupBy("source").agg(F.min("pid").alias("a"), F.max("pid").alias("b")).where("a < b").select("source")
-    # A partition has at most two sources that go on elsewhere, so this side is bounded by twice the number of partitions.
+    # A stretch has at most two sources that go on elsewhere, so this side is bounded by twice the number of stretches.
     spread = materialize(spread, "spread")
     lines = stretch.join(F.broadcast(spread), "source").select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"x{k}").alias("value")) for k in range(len(fields))])).alias("r"))
     medians = exact_medians(lines.select("source", "r.field", "r.value").where(F.col("value") > 0), ["source", "field"], "value")
@@ -301,12 +303,25 @@ def implausible_readings(
     )
 
 
-def _drop_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, src = batch.column("id").to_numpy(), batch.column("source").to_numpy()
-        keep = np.r_[last is None or (src[0], ids[0]) != last, (ids[1:] != ids[:-1]) | (src[1:] != src[:-1])]
-        last = (src[-1], ids[-1])
-        yield batch if keep.all() else batch.filter(pa.array(keep))
+def _cut(stretch_rows: int):
+    """Drop copies of sorted rows and number the stretches of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, written = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, src = batch.column("id").to_numpy(), batch.column("source").to_numpy()
+            keep = np.r_[last is None or (src[0], ids[0]) != last, (ids[1:] != ids[:-1]) | (src[1:] != src[:-1])]
+            last = (src[-1], ids[-1])
+            if not keep.all():
+                batch = batch.filter(pa.array(keep))
+            n = batch.num_rows
+            if not n:
+                continue
+            pid = (batch.column("pid").to_numpy() << 24) + (written + np.arange(n)) // stretch_rows
+            written += n
+            at = batch.schema.get_field_index("pid")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(pid))
+
+    return run

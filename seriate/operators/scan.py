@@ -63,12 +63,15 @@ def add_vectors(df: DataFrame, order: v.Order, vecs: list[Vec]) -> DataFrame:
     Small inputs are planned as plain windows at once. Of a large keyed one the rows per key are counted first (a pass over the keys, combined on the
     map side); it is worked on in segments if a key is hot. A large table that is a single series always is.
     """
+    return (spread if too_long(df, order.keys) else plain)(df, order, vecs)
+
+
+def too_long(df: DataFrame, keys: tuple[str, ...]) -> bool:
+    """Whether a series is too long for one task."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= (KEYED_BYTES if order.keys else ONE_TASK_BYTES):
-        return plain(df, order, vecs)
-    if order.keys and not df.groupBy(*order.keys).count().where(F.col("count") > HOT_ROWS).limit(1).count():
-        return plain(df, order, vecs)
-    return spread(df, order, vecs)
+    if size <= (KEYED_BYTES if keys else ONE_TASK_BYTES):
+        return False
+    return not keys or bool(df.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).limit(1).count())
 
 
 def spread(df: DataFrame, order: v.Order, vecs: list[Vec], partitions: int | None = None) -> DataFrame:
@@ -131,7 +134,7 @@ def spread(df: DataFrame, order: v.Order, vecs: list[Vec], partitions: int | Non
     for part in lent:
         rows = rows.unionByName(part)
     o = v.Order(order.by, (*keys, "__pid"))
-    with_offsets = rows.alias("r").join(offsets.alias("o"), _same(keys, "r", "o") & (F.col("r.__pid") == F.col("o.__pid")), "left").select("r.*", *[F.col(f"o.{c}").alias(c) for c in offsets.columns if c.startswith("__") and c not in ("__pid", "__n")])
+    with_offsets = rows.alias("r").join(offsets.alias("o"), _same(keys, "r", "o") & (F.col("r.__pid") == F.col("o.__pid")), "left").select("r.*", *[F.col(f"o.{c}").alias(c) for c in offsets.columns if c not in (*keys, "__pid", "__n")])
     place = F.coalesce("__rows", F.lit(0)) + F.sum(F.col("__own").cast("int")).over(o.upto())
     n_all = F.coalesce("__all", F.sum(F.col("__own").cast("int")).over(o.whole()))
     out: list[Column] = []

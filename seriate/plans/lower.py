@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from seriate.functions.vector import RUNNING, SHIFTED, Order
 from seriate.operators.fold import group_fold
-from seriate.operators.scan import Vec, add_vectors
+from seriate.operators.scan import Vec, add_vectors, too_long
 from seriate.plans import ast as a
 from seriate.plans.functions import compile_function, inlinable, inline
 from seriate.plans.render import Renderer, children, quote, replace, spark_type, walk
@@ -529,7 +529,8 @@ class _Stage:
         if low.is_udaf(c.name):
             raise ValueError(f"{c.name} can't be used inside a vector expression")
         if self.order.keys:
-            if c.distinct or c.name == "median":
+            # Joined back where a window would hold too much; and where there is no such window.
+            if c.distinct or c.name == "median" or too_long(self.df, self.order.keys):
                 reduced = self.df.groupBy(*self.order.keys).agg(F.expr(low.expr(c)).alias(name))
                 renamed = reduced.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(self.order.keys)], name)
                 match = F.lit(True)

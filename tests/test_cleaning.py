@@ -196,11 +196,11 @@ SCHEMA = "trip long, meter int, a timestamp_ntz, b timestamp_ntz, d double, f do
 FIELDS = [Reading("d", per_hour=200.0), Reading("f"), Reading("p", stuck=False)]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 50), (2, 3000)])
-def test_implausible_readings(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "stretch"), [(1, 50, 1_000_000), (2, 3000, 1_000_000), (3, 400, 7), (4, 900, 50)])
+def test_implausible_readings(spark, seed, hot, stretch):
     rows = random_trips(seed, hot)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("pid", F.lit("clash")).withColumn("source", F.lit(1))
-    got = implausible_readings(df, "meter", "a", "trip", FIELDS, end_time="b").where("negative or too_fast or stuck or far").collect()
+    got = implausible_readings(df, "meter", "a", "trip", FIELDS, end_time="b", stretch_rows=stretch).where("negative or too_fast or stuck or far").collect()
     assert len(got) == len({(r["trip"], r["field_name"]) for r in got})
     assert {(r["trip"], r["field_name"]) for r in got} == found(rows)
 
@@ -208,7 +208,7 @@ def test_implausible_readings(spark, seed, hot):
 def test_long_stuck_run_over_many_stretches(spark):
     base = dt.datetime(2009, 1, 1)
     rows = [(i, 1, base + dt.timedelta(minutes=i), None, 2.0 if 100 <= i < 3900 else float(i % 7 + 1), None, 1.0) for i in range(4000)]
-    got = implausible_readings(spark.createDataFrame(rows, SCHEMA), "meter", "a", "trip", FIELDS, end_time="b").where("stuck").collect()
+    got = implausible_readings(spark.createDataFrame(rows, SCHEMA), "meter", "a", "trip", FIELDS, end_time="b", stretch_rows=300).where("stuck").collect()
     assert {(r["trip"], r["field_name"]) for r in got} == {t for t in found(rows) if t[1] == "d"}
 
 

@@ -76,6 +76,20 @@ def test_functions_of_functions(engine):
     assert sorted(round(x, 6) for (x,) in rows(engine.sql("SELECT a - avg(a) AS c FROM t"))) == [-1, -1, 0, 0, 1, 1]
 
 
+def test_series_too_long_for_a_task(engine, monkeypatch):
+    """The same results when everything is worked on in segments and aggregates are joined back."""
+    from seriate.operators import scan
+
+    monkeypatch.setattr(scan, "KEYED_BYTES", 0)
+    monkeypatch.setattr(scan, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(scan, "HOT_ROWS", 3)
+    engine.run(STOCKS)
+    assert rows(engine.sql("SELECT max(price-mins(price)) FROM stocks ASSUMING DESC timestamp")) == [(17,)]
+    got = rows(engine.sql("SELECT price % 2 AS k, max(sums(price) - avg(price)) AS m FROM stocks ASSUMING ASC timestamp GROUP BY price % 2 ORDER BY k"))
+    odd, even = [p for p in PRICES if p % 2], [p for p in PRICES if p % 2 == 0]
+    assert [(k, round(m, 6)) for k, m in got] == [(0, round(sum(even) - sum(even) / len(even), 6)), (1, round(sum(odd) - sum(odd) / len(odd), 6))]
+
+
 def test_function_with_loops(engine):
     engine.run("""
     AGGREGATION FUNCTION twice(x, k) { l := x.len; for (i := 0; i < l; i += 1) { if (x[i] > 2) { _builtin_ret[i] := x[i] * k; } elif (x[i] = 2) _builtin_ret[i] := 0; else { _builtin_ret[i] := -1; } } Null }
