@@ -84,7 +84,7 @@ def stddevs(x, o: Order, w: int | None = None) -> Column:
 
 def position(o: Order) -> Column:
     """Place of the row in its series, from 0."""
-    return F.row_number().over(o.spec()) - 1
+    return F.row_number().over(o.spec()).cast("long") - 1
 
 
 def first(x, o: Order) -> Column:

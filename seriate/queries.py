@@ -359,6 +359,7 @@ _SAME = {
     "trim_text": (["network"], "SELECT trim(src) AS s, trim(both 's' FROM dst) AS d FROM network"),
 }
 _OTHER_SQL = {
+    "window_rank": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INTEGER) AS r, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders",
     "values_query": "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) v(col1, col2)",
     "extract_dates": "SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INTEGER) AS y, CAST(extract(month FROM o_orderdate) AS INTEGER) AS m FROM orders WHERE o_orderdate >= DATE '1995-01-01'",
     "trim_text": "SELECT trim(src, ' ') AS s, trim(dst, 's') AS d FROM network",
