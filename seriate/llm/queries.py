@@ -124,9 +124,9 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Posts per subject, and their share of all posts in thousandths."""
-    n_all = _table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_all"))
+    n_all = _table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_all")).scalar()
     counts = _subjects(spark, sf).groupBy("subject").agg(F.count(F.lit(1)).alias("n_posts"))
-    return counts.join(F.broadcast(n_all)).select("subject", "n_posts", F.round(F.col("n_posts") * 1000 / F.col("n_all"), 1).alias("per_thousand"))
+    return counts.select("subject", "n_posts", F.round(F.col("n_posts") * 1000 / n_all, 1).alias("per_thousand"))
 
 
 _ONCE = "trips AS (SELECT trip_id, any_value(PULocationID) AS PULocationID, any_value(tpep_pickup_datetime) AS pickup, any_value(total_amount) AS total_amount, any_value(trip_distance) AS trip_distance, any_value(fare_amount) AS fare_amount FROM nyctx100 GROUP BY trip_id)"
