@@ -15,11 +15,8 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     map side: what is shuffled is one row per key and task. Null keys count as keys; an empty table has none.
     """
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = per_key.agg(F.sum("__n").alias("__all"))
-    return (
-        per_key.join(F.broadcast(total), F.col("__n") >= F.col("__all") * F.lit(share))
-        .select(*keys, F.col("__n").alias("n"), F.col("__all").alias("n_all"))
-    )
+    total = per_key.agg(F.sum("__n").alias("__all")).scalar()
+    return per_key.select(*keys, F.col("__n").alias("n"), total.alias("n_all")).where(F.col("n") >= F.col("n_all") * F.lit(share))
 
 
 def salted_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], heavy: DataFrame, row_id: str, salts: int = 32) -> DataFrame:
