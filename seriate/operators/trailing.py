@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 SHARD = 64
 _TREE_SQL = "entity_id long, shard long, first_period long, last_period long, sums array<long>, counts array<long>"
@@ -33,13 +34,17 @@ def period_totals(df: DataFrame, entity: str, period: str, value: str) -> DataFr
 
 def build_trees(totals: DataFrame) -> DataFrame:
     """Segment trees of :func:`period_totals`: one row per entity and shard, without gaps from the entity's first to its last shard."""
-    span = totals.groupBy("entity_id").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"))
-    shard = lambda c: F.floor(F.col(c) / SHARD)
-    frames = span.select("entity_id", F.explode(F.sequence(shard("first_period"), shard("last_period"))).alias("shard"), "first_period", "last_period")
-    leaves = totals.select("entity_id", shard("period").alias("shard"), (F.col("period") - shard("period") * SHARD).alias("slot"), "total", "n")
-    # A shard has at most SHARD totals, so the lists are bounded.
-    packed = leaves.groupBy("entity_id", "shard").agg(F.collect_list(F.struct("slot", "total", "n")).alias("leaves"))
-    joined = frames.join(packed, ["entity_id", "shard"], "left").select("entity_id", "shard", "first_period", "last_period", F.col("leaves.slot").alias("slots"), F.col("leaves.total").alias("totals"), F.col("leaves.n").alias("ns"))
+    shard = F.floor(F.col("period") / SHARD)
+    leaf = F.struct((F.col("period") - shard * SHARD).alias("slot"), "total", "n")
+    # A shard has at most SHARD totals, so the lists are bounded; an entity has as many rows as its calendar has shards.
+    packed = totals.groupBy("entity_id", shard.alias("from_shard")).agg(F.collect_list(leaf).alias("leaves"), F.min("period").alias("low"), F.max("period").alias("high"))
+    mine = W.Window.partitionBy("entity_id")
+    upto = F.coalesce(F.lead("from_shard").over(mine.orderBy("from_shard")) - 1, F.col("from_shard"))
+    filled = packed.select("entity_id", "from_shard", "leaves", F.min("low").over(mine).alias("first_period"), F.max("high").over(mine).alias("last_period"), upto.alias("to_shard"))
+    # Shards between two with totals are empty.
+    joined = filled.select("entity_id", F.explode(F.sequence("from_shard", "to_shard")).alias("shard"), "from_shard", "first_period", "last_period", "leaves")
+    leaves = F.when(F.col("shard") == F.col("from_shard"), F.col("leaves"))
+    joined = joined.select("entity_id", "shard", "first_period", "last_period", leaves["slot"].alias("slots"), leaves["total"].alias("totals"), leaves["n"].alias("ns"))
     return joined.mapInArrow(_build, _TREE_SQL)
 
 
