@@ -56,12 +56,13 @@ def run_stream(spark: SparkSession, path: str, build: Callable[[DataFrame], Data
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     # A single file is a stream of one: a source reads folders.
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if _is_file(spark, path) else path)
-    q = build(stream).writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    single = _is_file(spark, path)
+    result = build(spark.readStream.schema(schema).option("pathGlobFilter", name if single else "*.parquet").parquet(folder if single else path))
+    q = result.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     jpath = spark._jvm.org.apache.hadoop.fs.Path(base)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.schema(result.schema).parquet(f"{base}/out")
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
