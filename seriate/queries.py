@@ -244,7 +244,7 @@ text_query(
     "SELECT c_nationkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey",
 )
 text_query(
-    "text_group_fold_sizes", ["events"], "SELECT user_id, value FROM events ASSUMING ASC ts, ASC event_id GROUP BY user_id ORDER BY user_id LIMIT 10", None
+    "text_group_fold", ["events"], "SELECT user_id, value FROM events ASSUMING ASC ts, ASC event_id GROUP BY user_id"
 )
 text_query(
     "text_moving_desc", ["events"], "SELECT event_id, mins(2, CAST(round(value * 100) AS bigint)) AS m FROM events ASSUMING DESC ts, DESC event_id",
