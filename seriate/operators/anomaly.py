@@ -6,7 +6,7 @@ third of all rows is spread over many tasks, each holding a stretch of its serie
 * normal level: the median of the source's positive readings (exact, over all its stretches);
 * model of deviations from it, ``y[t] = phi * y[t-1] + e[t]``, phi by iterated Huber weights, scale by the median absolute deviation;
 * additive outliers: ``|e[t]|`` over the threshold; they are replaced by their prediction and the model is fitted again;
-* level shifts: the largest jump between the windows before and after a place, taken out if it is significant, again and again;
+* level shifts: the largest jumps between the windows before and after a place, taken out if they are significant, until none is left;
   readings that are outliers before but not after that are reported as ``level_shift``;
 * stuck runs: equal positive consecutive readings; runs over the edge of a stretch are put together from the edges alone;
 * physical limits, given per field.
@@ -31,7 +31,7 @@ from seriate.session import materialize
 PHI_CAP, SCALE_CAP, CLEAN_CAP, THRESHOLD = 0.5, 4.5, 4.0, 6.0
 #: y >= 7 * level gives a residual of at least 7 - PHI_CAP * CLEAN_CAP = 5 levels, over the cap of the threshold, 4.5 levels.
 LEVEL_GUARANTEE = 8.0
-SHIFT_WINDOW, SHIFT_ROUNDS, FIT_ROUNDS = 20, 2, 3
+SHIFT_WINDOW, FIT_ROUNDS = 20, 3
 
 
 @dataclass(frozen=True)
@@ -70,33 +70,56 @@ def _lag(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _jumps(rest: np.ndarray, cap: np.ndarray, scale: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``places`` at which the level of ``rest`` moves significantly, and by how much.
+
+    A place is found by window means of values clipped at ``cap``, so that no spike makes a shift; how far the level moved is the difference
+    of the windows' medians, which has to be significant too. Of places within ``SHIFT_WINDOW`` of each other the most significant is taken.
+    """
+    w, t = SHIFT_WINDOW, places
+    c = np.r_[0, np.cumsum(np.clip(rest, -cap, cap))]
+    least = THRESHOLD * scale[t] * np.sqrt(2 / w)
+    # Rounded, so that ties are settled by place however the sums were made.
+    size = np.round(np.abs(c[t + w] - 2 * c[t] + c[t - w]) / w / least, 6)
+    near = size > 1
+    t, size, least = t[near], size[near], least[near]
+    around, step = np.arange(w), np.empty(len(t))
+    for a in range(0, len(t), 10_000):
+        p = t[a : a + 10_000, None]
+        step[a : a + 10_000] = np.median(rest[p + around], axis=1) - np.median(rest[p - 1 - around], axis=1)
+    real = np.abs(step) > least
+    t, size, step = t[real], size[real], step[real]
+    sizes = np.zeros(len(rest) + 2 * w)
+    sizes[t + w] = size
+    best = np.ones(len(t), bool)
+    for k in range(1, w + 1):
+        best &= (size > sizes[t + w - k]) & (size >= sizes[t + w + k])
+    return t[best], step[best]
+
+
 def _shift(y: np.ndarray, cap: np.ndarray, group: np.ndarray, starts: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """The level of each reading after significant shifts, 0 where there is none.
 
-    A place is found by window means of values clipped at ``cap``, so that no spike makes a shift; how far the level moved is the difference
-    of the windows' medians.
+    Each round takes out all jumps of a series that are not beside a larger one, until none is left. A place is taken at most once, so it ends.
     """
     n, w = len(y), SHIFT_WINDOW
     level = np.zeros(n)
     first, last = starts[group], np.r_[starts[1:], n][group]
     at = np.arange(n)
-    t = at[(at - first >= w) & (last - at >= w)]
-    if not len(t):
-        return level
-    around = np.arange(w)
-    for _ in range(SHIFT_ROUNDS):
-        rest = y - level
-        c = np.r_[0, np.cumsum(np.clip(rest, -cap, cap))]
-        score = np.abs(c[t + w] - 2 * c[t] + c[t - w]) / w / (scale[group[t]] * np.sqrt(2 / w))
-        best = np.lexsort((-score, group[t]))
-        top = best[_starts(group[t][best])]
-        top = t[top[score[top] > THRESHOLD]]
-        if not len(top):
-            break
-        step = np.zeros(n)
-        step[top] = np.median(rest[top[:, None] + around], axis=1) - np.median(rest[top[:, None] - 1 - around], axis=1)
+    open_ = (at - first >= w) & (last - at >= w)
+    rows = at
+    while len(rows):
+        own = group[rows]
+        t, steps = _jumps(y[rows] - level[rows], cap[rows], scale[own], np.flatnonzero(open_[rows]))
+        open_[rows[t]] = False
+        step = np.zeros(len(rows))
+        step[t] = steps
         c = np.cumsum(step)
-        level += c - (c - step)[starts][group]
+        first_row = _starts(own)
+        before = np.repeat((c - step)[first_row], np.diff(np.r_[first_row, len(rows)]))
+        level[rows] += c - before
+        # Series without a jump are done.
+        rows = rows[np.isin(own, own[t])]
     return level
 
 

@@ -249,6 +249,18 @@ def test_level_shift_is_told_from_spikes():
     assert (raw[110:] > 1).all() and (score[110:] <= 1).mean() > 0.9
 
 
+def test_any_number_of_level_shifts_is_taken_out():
+    import numpy as np
+
+    regimes = [1.0, 9.0, 20.0, 9.0, 30.0, 12.0, 25.0, 1.0, 14.0]
+    x = np.repeat(regimes, 100) + np.random.default_rng(2).normal(0, 0.02, 900)
+    x[450] = 90.0
+    raw, score = anomaly.fit_series(x, np.zeros(900, int), np.array([1.0]))
+    high = np.repeat(np.array(regimes) > 8, 100)
+    assert (raw[high] > 1).all() and score[450] > 1
+    assert all((score[i : i + 100] <= 1).mean() > 0.9 for i in range(0, 900, 100))
+
+
 def test_exact_medians(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, None), (1, 1.0), (1, 8.0), (2, None), (None, 4.0)], "k int, x double")
     assert {r["k"]: r["median"] for r in exact_medians(df, ["k"], "x").collect()} == {1: 2.0, None: 4.0}
