@@ -1,7 +1,8 @@
 """Implausible readings per source: robust autoregression with outlier and level-shift tests, stuck runs and physical limits.
 
 The series of a source are its readings in time order. Rows are range-partitioned by (source, time, id), so a source that holds a
-third of all rows is spread over many tasks, each holding a stretch of its series. A stretch is processed as arrays:
+third of all rows is spread over many tasks, each holding a stretch of its series. A stretch is processed as arrays; a source that lies in several
+is fitted over all of them (``_spread_cases``), so that the result does not depend on where the stretches are cut:
 
 * normal level: the median of the source's positive readings (exact, over all its stretches);
 * model of deviations from it, ``y[t] = phi * y[t-1] + e[t]``, phi by iterated Huber weights, scale by the median absolute deviation;
@@ -17,7 +18,7 @@ Threshold and prediction are bounded by the normal level (``SCALE_CAP``, ``CLEAN
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,6 +124,23 @@ def _shift(y: np.ndarray, cap: np.ndarray, group: np.ndarray, starts: np.ndarray
     return level
 
 
+def _limits(m: np.ndarray, mad: np.ndarray, scale_floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The outlier threshold and the cap of deviations, from normal levels (0: none) and median absolute deviations."""
+    floor = np.maximum(scale_floor * m, 1e-9)
+    limit = np.maximum(np.minimum(THRESHOLD * np.maximum(1.4826 * mad, floor), SCALE_CAP * np.maximum(m, floor)), 1e-9)
+    return limit, CLEAN_CAP * np.maximum(m, floor)
+
+
+def _clean(y: np.ndarray, pred: np.ndarray, limit: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    return np.clip(np.where(np.abs(y - pred) > limit, pred, y), -cap, cap)
+
+
+def _moments(y: np.ndarray, z: np.ndarray, before: np.ndarray, pred: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the next phi is the quotient of the sums of, per reading."""
+    weight = np.minimum(1, limit / np.maximum(np.abs(y - pred), 1e-12))
+    return weight * z * before, weight * before * before
+
+
 def fit_series(x: np.ndarray, group: np.ndarray, level: np.ndarray, scale_floor: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
     """Scores of readings ``x`` of the groups (sorted, 0..G-1) against each group's normal ``level``.
 
@@ -131,25 +149,24 @@ def fit_series(x: np.ndarray, group: np.ndarray, level: np.ndarray, scale_floor:
     starts = _starts(group)
     m = np.where(np.isfinite(level), level, 0.0)
     y = x - m[group]
-    mad = 1.4826 * segment_median(np.abs(y), group, len(m))
-    floor = np.maximum(scale_floor * m, 1e-9)
-    limit = np.maximum(np.minimum(THRESHOLD * np.maximum(mad, floor), SCALE_CAP * np.maximum(m, floor)), 1e-9)
-    cap = CLEAN_CAP * np.maximum(m, floor)
-    z = np.clip(y, -cap[group], cap[group])
+    limits, caps = _limits(m, segment_median(np.abs(y), group, len(m)), scale_floor)
+    limit, cap = limits[group], caps[group]
+    z = np.clip(y, -cap, cap)
     pred = np.zeros_like(y)
     for _ in range(FIT_ROUNDS):
         before = _lag(z, starts)
-        e = np.abs(y - pred)
-        weight = np.minimum(1, limit[group] / np.maximum(e, 1e-12))
-        num, den = np.add.reduceat(weight * z * before, starts), np.add.reduceat(weight * before * before, starts)
+        num, den = (np.add.reduceat(v, starts) for v in _moments(y, z, before, pred, limit))
         phi = np.clip(np.divide(num, den, out=np.zeros_like(num), where=den > 0), -PHI_CAP, PHI_CAP)
         pred = phi[group] * before
-        outlier = np.abs(y - pred) > limit[group]
-        z = np.clip(np.where(outlier, pred, y), -cap[group], cap[group])
+        z = _clean(y, pred, limit, cap)
     pred = phi[group] * _lag(z, starts)
-    raw = np.abs(y - pred) / limit[group]
-    shift = _shift(y, cap[group], group, starts, limit / THRESHOLD)
-    return raw, np.where(shift != 0, np.abs(y - pred - shift) / limit[group], raw)
+    shift = _shift(y, cap, group, starts, limits / THRESHOLD)
+    return _scores(y, pred, shift, limit)
+
+
+def _scores(y: np.ndarray, pred: np.ndarray, shift: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.abs(y - pred) / limit
+    return raw, np.where(shift != 0, np.abs(y - pred - shift) / limit, raw)
 
 
 _OUT = pa.schema([
@@ -161,6 +178,15 @@ NEGATIVE, TOO_FAST, STUCK, SPIKE, SHIFT, FAR = 1, 2, 4, 8, 16, 32
 HEAD, TAIL, BOTH = 0, 1, 2
 
 
+def _model_kinds(raw_score: np.ndarray, score: np.ndarray, x: np.ndarray, far_from: np.ndarray | float) -> np.ndarray:
+    kinds = np.zeros(len(x), np.int32)
+    kinds[score > 1] |= SPIKE
+    kinds[(score <= 1) & (raw_score > 1)] |= SHIFT
+    # The exact check of the candidates that the model gave.
+    kinds[(kinds > 0) & (x >= far_from)] |= FAR
+    return kinds
+
+
 def _chunk(fields: list[Reading], run_length: int, ratio: float, cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Cases and run edges of one stretch, sorted by source, time and id."""
     source, pid = cols["source"], int(cols["pid"][0])
@@ -179,15 +205,14 @@ def _chunk(fields: list[Reading], run_length: int, ratio: float, cols: dict[str,
         given = cols[f"m{k}"][has][starts]
         split = cols["split"][has][starts].astype(bool)
         level = np.where(split, given, level)
-        raw_score, score = fit_series(x, group, level, f.scale_floor)
+        times = np.divide(x, level[group], out=np.zeros_like(x), where=level[group] > 0)
         kinds = np.zeros(len(x), np.int32)
+        # Series that go on in another stretch are fitted over all their stretches, by _spread_cases.
+        whole = ~split[group]
+        if whole.any():
+            own = np.cumsum(~split)[group[whole]] - 1
+            kinds[whole] = _model_kinds(*fit_series(x[whole], own, level[~split], f.scale_floor), x[whole], ratio * level[group[whole]])
         kinds[x < 0] |= NEGATIVE
-        kinds[score > 1] |= SPIKE
-        kinds[(score <= 1) & (raw_score > 1)] |= SHIFT
-        times = np.divide(x, level[group], out=np.zeros_like(x), where=level[group] > 0)
-        # The exact check of the candidates that the model gave.
-        far = ((kinds & (SPIKE | SHIFT)) > 0) & (x >= ratio * level[group])
-        kinds[far] |= FAR
         if f.per_hour:
             seconds = cols["seconds"][has]
             kinds[(seconds > 0) & (x * 3600 > f.per_hour * seconds)] |= TOO_FAST
@@ -216,7 +241,9 @@ def _chunk(fields: list[Reading], run_length: int, ratio: float, cols: dict[str,
     return {n: np.concatenate([o[n] for o in out]) if out else np.empty(0) for n in _OUT.names}
 
 
-def _process(fields: list[Reading], run_length: int, ratio: float):
+def _by_stretch(work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: pa.Schema):
+    """``work`` on the columns of each stretch, whose rows follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(parts)
@@ -229,9 +256,9 @@ def _process(fields: list[Reading], run_length: int, ratio: float):
                     cols[name] = c.combine_chunks().to_numpy(zero_copy_only=False).astype(float)
                 else:
                     cols[name] = c.to_numpy()
-            got = _chunk(fields, run_length, ratio, cols)
-            if len(got["id"]):
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name]).cast(f.type, safe=False) for f in _OUT], schema=_OUT)
+            got = work(cols)
+            if len(got[schema.names[0]]):
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name]).cast(f.type, safe=False) for f in schema], schema=schema)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -251,6 +278,196 @@ def _process(fields: list[Reading], run_length: int, ratio: float):
     return run
 
 
+#: Rows of a stretch with what the model needs of a series that goes on elsewhere: where its readings stand in the series, then the readings before the stretch, of it, and after it.
+PLACE, BEFORE, OWN, AFTER = 0, 1, 2, 3
+#: A place within SHIFT_WINDOW of the stretch needs a window on either side; the lag needs FIT_ROUNDS + 1 readings, which are fewer.
+HALO = 2 * SHIFT_WINDOW
+
+_ENDS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("pid", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64()))])
+_ENDS_SQL = "source long, field int, pid long, n long, head array<double>, tail array<double>"
+_SUMS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("num", pa.float64()), ("den", pa.float64())])
+_SUMS_SQL = "source long, field int, num double, den double"
+_STEPS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("at", pa.int64()), ("step", pa.float64())])
+_STEPS_SQL = "source long, field int, at long, step double"
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> dict[str, list]:
+    return dict(zip(schema.names, zip(*rows))) if rows else {n: [] for n in schema.names}
+
+
+def _ends(n_fields: int):
+    """Of each series of a stretch: how many readings it has there, and its first and last ones."""
+
+    def work(cols: dict[str, np.ndarray]) -> dict[str, list]:
+        rows, starts = [], _starts(cols["source"])
+        for a, b in zip(starts, np.r_[starts[1:], len(cols["source"])]):
+            for k in range(n_fields):
+                x = cols[f"x{k}"][a:b]
+                x = x[~np.isnan(x)]
+                if len(x):
+                    rows.append((cols["source"][a], k, cols["pid"][a], len(x), x[:HALO], x[-HALO:]))
+        return _columns(rows, _ENDS)
+
+    return work
+
+
+@dataclass
+class _Series:
+    """The readings of one series in a stretch, those around it included: own ones are ``a`` to ``b``, the first of all is reading ``at`` of the series."""
+
+    source: int
+    field: int
+    y: np.ndarray
+    a: int
+    b: int
+    at: int
+    rows: np.ndarray
+    level: float
+    limit: float
+    cap: float
+    phis: list[float]
+
+    def fitted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cleaned deviations, those one reading before, and the last prediction; right from FIT_ROUNDS + 1 readings after the first on."""
+        start = np.zeros(1, np.int64)
+        z, pred = np.clip(self.y, -self.cap, self.cap), np.zeros_like(self.y)
+        for phi in self.phis:
+            pred = phi * _lag(z, start)
+            z = _clean(self.y, pred, self.limit, self.cap)
+        return z, _lag(z, start), pred
+
+    def shifts(self, steps: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The level of the readings after the shifts taken out so far, and where those are."""
+        places, upto = steps.get((self.source, self.field), (np.empty(0, np.int64), np.zeros(1)))
+        i, j = np.searchsorted(places, (self.at, self.at + len(self.y)))
+        return upto[np.searchsorted(places, self.at + np.arange(len(self.y)), "right")], places[i:j] - self.at
+
+
+def _series(fields: list[Reading], rounds: int, cols: dict[str, np.ndarray]) -> Iterator[_Series]:
+    starts = _starts(cols["source"])
+    for a, b in zip(starts, np.r_[starts[1:], len(cols["source"])]):
+        role = cols["role"][a:b]
+        for k, f in enumerate(fields):
+            x = cols[f"x{k}"][a:b]
+            rows = np.flatnonzero(~np.isnan(x) & (role != PLACE))
+            own = np.flatnonzero(role[rows] == OWN)
+            if not len(own):
+                continue
+            level, mad = cols[f"m{k}"][a], cols[f"d{k}"][a]
+            m = level if np.isfinite(level) else 0.0
+            limit, cap = _limits(np.array(m), np.array(mad), f.scale_floor)
+            at = int(x[np.flatnonzero((role == PLACE) & ~np.isnan(x))[0]]) - own[0]
+            yield _Series(int(cols["source"][a]), k, x[rows] - m, own[0], own[-1] + 1, int(at), a + rows, level, float(limit), float(cap), [cols[f"p{k}_{r}"][a] for r in range(rounds)])
+
+
+def _sums(fields: list[Reading], rounds: int):
+    def work(cols: dict[str, np.ndarray]) -> dict[str, list]:
+        rows = []
+        for s in _series(fields, rounds, cols):
+            z, before, pred = s.fitted()
+            num, den = _moments(s.y, z, before, pred, s.limit)
+            rows.append((s.source, s.field, num[s.a : s.b].sum(), den[s.a : s.b].sum()))
+        return _columns(rows, _SUMS)
+
+    return work
+
+
+def _new_steps(fields: list[Reading], steps, active):
+    """Jumps of one round of ``_shift`` whose places are in the stretch."""
+
+    def work(cols: dict[str, np.ndarray]) -> dict[str, list]:
+        rows, w = [], SHIFT_WINDOW
+        for s in _series(fields, 0, cols):
+            if active.value is not None and (s.source, s.field) not in active.value:
+                continue
+            level, taken = s.shifts(steps.value)
+            n = len(s.y)
+            open_ = np.zeros(n, bool)
+            open_[max(w, s.a - w) : max(0, min(n - w, s.b + w) + 1)] = True
+            open_[taken] = False
+            t, size = _jumps(s.y - level, np.full(n, s.cap), np.full(n, s.limit / THRESHOLD), np.flatnonzero(open_))
+            rows += [(s.source, s.field, s.at + i, d) for i, d in zip(t, size) if s.a <= i < s.b]
+        return _columns(rows, _STEPS)
+
+    return work
+
+
+def _spread_kinds(fields: list[Reading], ratio: float, steps):
+    def work(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = []
+        for s in _series(fields, FIT_ROUNDS, cols):
+            own = slice(s.a, s.b)
+            pred = s.phis[-1] * s.fitted()[1]
+            x = cols[f"x{s.field}"][s.rows]
+            kinds = _model_kinds(*(v[own] for v in _scores(s.y, pred, s.shifts(steps.value)[0], s.limit)), x[own], ratio * s.level)
+            hit = np.flatnonzero(kinds)
+            none, at = np.full(len(hit), -1), s.rows[own][hit]
+            times = x[own][hit] / s.level if s.level > 0 else np.zeros(len(hit))
+            out.append({"id": cols["id"][at], "field": np.full(len(hit), s.field), "source": np.full(len(hit), s.source), "kinds": kinds[hit], "ratio": times, "pid": none, "side": none, "run": none, "value": x[own][hit]})
+        return {n: np.concatenate([o[n] for o in out]) if out else np.empty(0) for n in _OUT.names}
+
+    return work
+
+
+def _with_surroundings(rows: DataFrame, n_fields: int) -> DataFrame:
+    """``rows`` of series that go on in other stretches, by stretch and source, with their places and the readings around them as further rows."""
+    only = lambda k, value: [F.when(F.col("field") == k, F.col(value)).alias(f"x{k}")]
+    # At most two series of a stretch go on elsewhere: a few rows a stretch.
+    ends = materialize(rows.mapInArrow(_by_stretch(_ends(n_fields), _ENDS), _ENDS_SQL), "ends")
+    line = W.Window.partitionBy("source", "field").orderBy("pid")
+    # Each stretch in between has at least one reading, so HALO stretches hold enough.
+    near = ends.select(
+        "source", "field", "pid", F.coalesce(F.sum("n").over(line.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).cast("double").alias("place"),
+        F.slice(F.reverse(F.flatten(F.collect_list("tail").over(line.rowsBetween(-HALO, -1)))), 1, HALO).alias("before"),
+        F.slice(F.flatten(F.collect_list("head").over(line.rowsBetween(1, HALO))), 1, HALO).alias("after"),
+    )
+    place = near.select("source", "pid", "field", F.lit(PLACE).alias("role"), F.lit(0).alias("ord"), F.col("place").alias("value"))
+    before = near.select("source", "pid", "field", F.lit(BEFORE).alias("role"), F.posexplode("before").alias("o", "value")).withColumn("o", -F.col("o"))
+    after = near.select("source", "pid", "field", F.lit(AFTER).alias("role"), F.posexplode("after").alias("o", "value"))
+    extra = place.unionByName(before.withColumnRenamed("o", "ord")).unionByName(after.withColumnRenamed("o", "ord"))
+    start = rows.schema["start"].dataType
+    extra = extra.select("pid", "source", "role", "ord", F.lit(None).cast(start).alias("start"), F.lit(-1).cast("long").alias("id"), *[c for k in range(n_fields) for c in only(k, "value")])
+    own = rows.select("pid", "source", F.lit(OWN).alias("role"), F.lit(0).alias("ord"), "start", "id", *[f"x{k}" for k in range(n_fields)])
+    both = own.unionByName(extra).repartition("pid").sortWithinPartitions("pid", "source", "role", "ord", "start", "id")
+    return materialize(both, "series", by="pid")
+
+
+def _spread_cases(stretch: DataFrame, known: DataFrame, fields: list[Reading], ratio: float) -> DataFrame:
+    """The model's cases of series that go on in several stretches, the same as if each were fitted as one.
+
+    ``known`` has their levels. Scale and phi come from sums over all stretches; lags, windows and places near an edge see the readings beyond it;
+    shifts found in a round hold for all later readings of the series. What a task needs of them is broadcast: two numbers a shift.
+    """
+    spark, n = stretch.sparkSession, len(fields)
+    rows = _with_surroundings(stretch.join(F.broadcast(known.select("source")), "source", "left_semi"), n)
+    deviations = rows.where(F.col("role") == OWN).join(F.broadcast(known), "source").select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.abs(F.col(f"x{k}") - F.coalesce(f"m{k}", F.lit(0.0))).alias("value")) for k in range(n)])).alias("r")).select("source", "r.*")
+    wide = lambda df, value, name: df.groupBy("source").agg(*[F.max(F.when(F.col("field") == k, F.col(value))).alias(name(k)) for k in range(n)])
+    known = materialize(known.join(wide(exact_medians(deviations, ["source", "field"], "value"), "median", "d{}".format), "source", "left"), "scales")
+    for r in range(FIT_ROUNDS):
+        sums = rows.join(F.broadcast(known), "source").mapInArrow(_by_stretch(_sums(fields, r), _SUMS), _SUMS_SQL).groupBy("source", "field").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+        phi = sums.withColumn("phi", F.when(F.col("den") > 0, F.greatest(F.least(F.col("num") / F.col("den"), F.lit(PHI_CAP)), F.lit(-PHI_CAP))).otherwise(0.0))
+        known = materialize(known.join(wide(phi, "phi", lambda k, r=r: f"p{k}_{r}"), "source", "left"), "phi")
+    fitted = rows.join(F.broadcast(known), "source")
+
+    found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    steps, active, open_rows = spark.sparkContext.broadcast({}), spark.sparkContext.broadcast(None), fitted
+    while True:
+        new: dict[tuple[int, int], list] = {}
+        for s in open_rows.mapInArrow(_by_stretch(_new_steps(fields, steps, active), _STEPS), _STEPS_SQL).collect():
+            new.setdefault((s[0], s[1]), []).append((s[2], s[3]))
+        if not new:
+            break
+        for key, more in new.items():
+            at, upto = found.get(key, (np.empty(0, np.int64), np.zeros(1)))
+            at, step = np.r_[at, [a for a, _ in more]].astype(np.int64), np.r_[np.diff(upto), [d for _, d in more]]
+            order = np.argsort(at)
+            found[key] = at[order], np.r_[0, np.cumsum(step[order])]
+        steps, active = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(set(new))
+        # Series without a jump are done.
+        open_rows = fitted.join(F.broadcast(spark.createDataFrame([(s,) for s in {s for s, _ in new}], "source long")), "source", "left_semi")
+    return fitted.mapInArrow(_by_stretch(_spread_kinds(fields, ratio, steps), _OUT), _OUT_SQL)
+
+
 def exact_medians(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median (mean of the two middle values for an even number) of ``value`` per ``keys``, as column ``median``.
 
@@ -289,7 +506,7 @@ def implausible_readings(
     seconds = F.expr(f"timestampdiff(SECOND, `{time}`, `{end_time}`)") if end_time else F.lit(None)
     flat = rows.select(
         F.col(source).cast("long").alias("source"), F.col(time).alias("start"), F.col(row_id).cast("long").alias("id"),
-        seconds.cast("double").alias("seconds"), *[F.col(f.name).cast("double").alias(f"x{k}") for k, f in enumerate(fields)],
+        seconds.cast("double").alias("seconds"), *[F.nanvl(F.col(f.name).cast("double"), F.lit(None).cast("double")).alias(f"x{k}") for k, f in enumerate(fields)],
     )
     # Copies of a row have the same key and so meet in one range partition; there they lie side by side. A partition is cut into stretches
     # of bounded size, each a file.
@@ -303,10 +520,12 @@ def implausible_readings(
     lines = stretch.join(F.broadcast(spread), "source").select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"x{k}").alias("value")) for k in range(len(fields))])).alias("r"))
     medians = exact_medians(lines.select("source", "r.field", "r.value").where(F.col("value") > 0), ["source", "field"], "value")
     per_source = medians.groupBy("source").agg(*[F.max(F.when(F.col("field") == k, F.col("median"))).alias(f"m{k}") for k in range(len(fields))])
-    known = spread.join(per_source, "source", "left").withColumn("split", F.lit(True))
+    known = materialize(spread.join(per_source, "source", "left").withColumn("split", F.lit(True)), "levels")
     given = stretch.join(F.broadcast(known), "source", "left").withColumn("split", F.coalesce("split", F.lit(False)).cast("int"))
     given = given.select("pid", "source", "id", "seconds", "split", *[f"x{k}" for k in range(len(fields))], *[f"m{k}" for k in range(len(fields))])
-    found = materialize(given.mapInArrow(_process(fields, run_length, ratio), _OUT_SQL), "readings")
+    found = materialize(given.mapInArrow(_by_stretch(lambda cols: _chunk(fields, run_length, ratio, cols), _OUT), _OUT_SQL), "readings")
+    if not spread.isEmpty():
+        found = found.unionByName(materialize(_spread_cases(stretch, known.drop("split"), fields, ratio), "spread_cases"))
 
     # Runs over the edges of stretches: a few rows per stretch, in the order of stretches.
     edges = found.where("pid >= 0")

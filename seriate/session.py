@@ -29,17 +29,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialize(df: DataFrame, name: str, whole_files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, whole_files: int | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and survives the loss of executors.
 
     The files go when the session's JVM ends. ``whole_files``: at most so many rows a file, and each file in one row group, so that it is read by one
-    task in the order in which it was written.
+    task in the order in which it was written. ``by``: the same for the rows of each value of a column, which ``df`` has to hold in one partition, sorted by it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = df.write
+    if whole_files or by:
+        writer = writer.option("parquet.block.size", 1 << 30)
     if whole_files:
-        writer = writer.option("parquet.block.size", 1 << 30).option("maxRecordsPerFile", whole_files)
+        writer = writer.option("maxRecordsPerFile", whole_files)
+    if by:
+        writer = writer.partitionBy(by)
     writer.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

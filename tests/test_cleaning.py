@@ -261,6 +261,23 @@ def test_any_number_of_level_shifts_is_taken_out():
     assert all((score[i : i + 100] <= 1).mean() > 0.9 for i in range(0, 900, 100))
 
 
+@pytest.mark.parametrize("stretch", [7, 90])
+def test_model_does_not_depend_on_stretches(spark, stretch):
+    """A meter with level shifts, spikes and gaps in several stretches is fitted as one series."""
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    x = np.repeat([1.0, 9.0, 1.0, 12.0, 25.0], [250, 80, 150, 60, 60]) * rnd.lognormal(0, 0.1, 600)
+    x[[20, 200, 330, 590]] *= 30
+    base = dt.datetime(2009, 1, 1)
+    rows = [(i, 1 if i < 560 else 2, base + dt.timedelta(minutes=i), None, None if i % 9 == 0 else float("nan") if i % 50 == 1 else float(v), float(rnd.lognormal(0, 1)), None if i > 30 else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    flags = lambda n: {tuple(r) for r in implausible_readings(df, "meter", "a", "trip", FIELDS, end_time="b", stretch_rows=n).collect()}
+    whole = flags(1_000_000)
+    assert flags(stretch) == whole
+    assert sum(r[-3] for r in whole) > 100
+
+
 def test_exact_medians(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, None), (1, 1.0), (1, 8.0), (2, None), (None, 4.0)], "k int, x double")
     assert {r["k"]: r["median"] for r in exact_medians(df, ["k"], "x").collect()} == {1: 2.0, None: 4.0}
