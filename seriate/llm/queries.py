@@ -17,6 +17,8 @@ from seriate.session import materialize
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 SKETCHED = ["trip_distance", "fare_amount"]
+#: Words of a test passage in a row that are a leak.
+MIN_WORDS = 10
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -86,7 +88,7 @@ def p7_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return leaked_spans(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "passage")
+    return leaked_spans(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "passage", MIN_WORDS)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +109,8 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """What stays of the leaking documents."""
-    cleaned = without_leaks(_table(spark, sf, "documents"), "doc_id", "text", _spans(spark, sf))
+    # Every span that the search reports is removed.
+    cleaned = without_leaks(_table(spark, sf, "documents"), "doc_id", "text", _spans(spark, sf), max_words=MIN_WORDS - 1)
     return cleaned.select("doc_id", "removed_words", "share", "dropped", F.concat_ws(" ", "words").alias("kept_text"))
 
 

@@ -27,6 +27,17 @@ def test_ids_of_all_documents(spark):
     assert got == want
 
 
+def test_cleaned_documents_keep_no_leak(spark, tmp_path):
+    """Every run of words that p8_found reports goes, in long documents too."""
+    passage = [f"item{i}" for i in range(20)]
+    docs = [(n, " ".join(["own", *passage[:n], *["filler"] * 200])) for n in (9, 10, 11, 13, 14)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    out = {r["doc_id"]: r for r in QUERIES["p8_cleaned"](spark, str(tmp_path)).collect()}
+    assert set(out) == {r["doc_id"] for r in QUERIES["p8_found"](spark, str(tmp_path)).collect()} == {10, 11, 13, 14}
+    assert all(not r["dropped"] and r["removed_words"] == n and r["kept_text"] == " ".join(["own", *["filler"] * 200]) for n, r in out.items())
+
+
 def test_subjects_of_held_out_labels(spark):
     """Fitted on two thirds of the labelled posts of a larger scale, compared with the rest of the labels, some of which are wrong."""
     sf = "/root/testdata/sf0.1"
