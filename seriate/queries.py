@@ -239,6 +239,19 @@ text_query(
     "text_max_prev_ratio", ["events"], "SELECT round(max(value / prev(value)), 9) AS max_ratio FROM events ASSUMING ASC ts, ASC event_id WHERE user_id = 1",
     "WITH r AS (SELECT value / coalesce(lag(value) OVER (ORDER BY ts, event_id), value) AS a FROM events WHERE user_id = 1) SELECT round(max(a), 9) AS max_ratio FROM r",
 )
+# The same over all rows: the two beside them keep the ID filter of the reference's examples.
+text_query(
+    "text_best_profit_where_value", ["events"], "SELECT max(round(value * 100) - mins(round(value * 100))) AS profit FROM events ASSUMING ASC ts, ASC event_id WHERE event_type = \"view\" AND value > 1",
+    "WITH m AS (SELECT round(value * 100) AS v, min(round(value * 100)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS low FROM events WHERE event_type = 'view' AND value > 1) SELECT max(v - low) AS profit FROM m",
+)
+text_query(
+    "text_max_prev_ratio_all", ["events"], "SELECT round(max(value / prev(value)), 9) AS max_ratio FROM events ASSUMING ASC ts, ASC event_id",
+    "WITH r AS (SELECT value / nullif(coalesce(lag(value) OVER (ORDER BY ts, event_id), value), 0) AS a FROM events) SELECT round(max(a), 9) AS max_ratio FROM r",
+)
+text_query(
+    "text_max_prev_ratio_users", ["events"], "SELECT user_id, round(max(value / prev(value)), 9) AS max_ratio FROM events ASSUMING ASC ts, ASC event_id GROUP BY user_id",
+    "WITH r AS (SELECT user_id, value / nullif(coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), value), 0) AS a FROM events) SELECT user_id, round(max(a), 9) AS max_ratio FROM r GROUP BY user_id",
+)
 text_query(
     "text_last_of_join", ["orders", "customer"], "SELECT c_nationkey, last(o_totalprice) AS price FROM orders o, customer c ASSUMING ASC o_orderdate, ASC o_orderkey WHERE o.o_custkey = c.c_custkey GROUP BY c_nationkey",
     "SELECT c_nationkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey",
@@ -314,6 +327,7 @@ _SAME = {
     "arith": (["orders"], "SELECT o_orderkey, o_custkey * 2 + 1 - o_orderkey AS a, o_orderkey % 7 AS m, -o_custkey AS n, 3 * o_custkey AS t FROM orders"),
     "logic": (["orders"], "SELECT o_orderkey FROM orders WHERE o_custkey - 100 > 1 AND NOT (o_orderkey * 2 < 500) OR o_orderpriority = '1-URGENT' AND o_totalprice <> 0"),
     "where_range": (["orders"], "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 AND o_orderkey <= 5000"),
+    "where_value_range": (["orders"], "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice >= 50000 AND o_totalprice <= 200000"),
     "null_test": (["nyctx100"], "SELECT trip_id, passenger_count IS NULL AS gone, PULocationID IS NOT NULL AS here, passenger_count IS DISTINCT FROM RatecodeID AS other FROM nyctx100"),
     "case_cast_between": (["orders"], "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice BETWEEN 50000 AND 200000 THEN 'mid' ELSE 'small' END AS size, CAST(floor(o_totalprice) AS bigint) AS whole FROM orders"),
     "like_in": (["customer"], "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1%' AND c_nationkey IN (1, 2, 3) AND c_mktsegment NOT IN ('BUILDING')"),
@@ -396,6 +410,7 @@ text_query("delete_where", ["orders"], "CREATE TABLE t AS SELECT o_orderkey, o_t
 text_query("update_where", ["nation"], "CREATE TABLE t AS SELECT n_nationkey, n_regionkey FROM nation; UPDATE t SET n_regionkey = n_regionkey + 10 WHERE n_nationkey < 5; SELECT * FROM t", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation")
 text_query("ctas", ["nation"], "CREATE TABLE d AS SELECT n_regionkey, count(*) AS twice FROM nation GROUP BY n_regionkey; SELECT n_regionkey, 2twice AS t FROM d", "SELECT n_regionkey, 2 * count(*) AS t FROM nation GROUP BY n_regionkey")
 text_query("select_into", ["orders"], "SELECT DISTINCT o_custkey INTO d FROM orders; SELECT o_custkey INTO d FROM orders WHERE o_orderkey < 100; SELECT count(*) AS n FROM d", "SELECT (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(*) FROM orders WHERE o_orderkey < 100) AS n")
+text_query("select_into_value", ["orders"], "SELECT DISTINCT o_custkey INTO d FROM orders; SELECT o_custkey INTO d FROM orders WHERE o_totalprice > 200000; SELECT count(*) AS n FROM d", "SELECT (SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(*) FROM orders WHERE o_totalprice > 200000) AS n")
 text_query("create_view", ["nation"], "CREATE VIEW w (k, r) AS SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey > 1; SELECT r, count(*) AS n FROM w GROUP BY r; ", "SELECT n_regionkey AS r, count(*) AS n FROM nation WHERE n_regionkey > 1 GROUP BY 1")
 text_query("insert_overwrite", ["nation"], "CREATE TABLE t (k bigint); INSERT INTO t VALUES (1), (2); INSERT OVERWRITE TABLE t SELECT n_nationkey FROM nation WHERE n_nationkey < 3; SELECT * FROM t", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey < 3")
 text_query("passthrough", ["nation"], "<sql> CREATE INDEX i ON nation(n_name); SELECT n_name, upper(n_name) AS u FROM nation WHERE n_nationkey < 7; </sql>", "SELECT n_name, upper(n_name) AS u FROM nation WHERE n_nationkey < 7")

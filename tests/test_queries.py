@@ -16,3 +16,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ratios_of_all_users(spark):
+    """A ratio for each user of the table, not of a few IDs; the filters by value take a good part of the rows."""
+    sf = "/root/testdata/sf0.001"
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct()
+    assert {r[0] for r in QUERIES["text_max_prev_ratio_users"](spark, sf).select("user_id").collect()} == {r[0] for r in users.collect()}
+    assert QUERIES["text_max_prev_ratio_all"](spark, sf).first()[0] > 1
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert QUERIES["where_value_range"](spark, sf).count() > orders / 10
