@@ -162,9 +162,9 @@ LEVELS = ["lexicon", "remark", "opening", "closing", "address", "source"]
 
 
 def post_levels(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id, source, host, subject, lexicon, remark, opening, closing``: a row per post and subject named in it; one with a null subject for the others."""
+    """``doc_id, source, hosts, subject, lexicon, remark, opening, closing``: a row per post and subject named in it; one with a null subject for the others."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    kinds = [("source", pa.string()), ("host", pa.string()), ("subject", pa.string()), *[(c, pa.int32()) for c in LEVELS[:4]]]
+    kinds = [("source", pa.string()), ("hosts", pa.list_(pa.string())), ("subject", pa.string()), *[(c, pa.int32()) for c in LEVELS[:4]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -172,15 +172,15 @@ def post_levels(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             ids, rows = [], []
             for doc, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found, hosts = lex.levels(text)
-                host = min(hosts) if hosts else None
+                hosts = sorted(set(hosts))
                 for subject, levels in sorted(found.items()) or [(None, (0, 0, 0, 0))]:
                     ids.append(doc)
-                    rows.append((source, host, subject, *levels))
+                    rows.append((source, hosts, subject, *levels))
             cols = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *[pa.array(c, k) for c, (_, k) in zip(cols, kinds)]], names=["doc_id", *[n for n, _ in kinds]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(run, f"doc_id {kind}, source string, host string, subject string, lexicon int, remark int, opening int, closing int")
+    return docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(run, f"doc_id {kind}, source string, hosts array<string>, subject string, lexicon int, remark int, opening int, closing int")
 
 
 def _usual(levels: DataFrame, by: str) -> DataFrame:
@@ -194,9 +194,12 @@ def _usual(levels: DataFrame, by: str) -> DataFrame:
 def with_usual(levels: DataFrame) -> DataFrame:
     """Levels with those of address and source: 0 where nothing is known."""
     out = levels.where("subject IS NOT NULL")
-    for by, name in (("host", "address"), ("source", "source")):
-        usual = _usual(levels, by).select(F.col(by).alias("__by"), F.col("subject").alias("__s"), F.col("level").alias(f"__{name}"))
-        out = out.join(usual, (F.col(by) == F.col("__by")) & (F.col("subject") == F.col("__s")), "left").drop("__by", "__s")
+    # A post speaks for each of its hosts, and the one that says most for the subject counts.
+    each = _usual(out.withColumn("host", F.explode("hosts")), "host")
+    sets = out.select("hosts", "subject").distinct().withColumn("host", F.explode("hosts"))
+    address = sets.join(each, ["host", "subject"]).groupBy("hosts", "subject").agg(F.max("level").alias("__address"))
+    usual = _usual(levels, "source").select("source", "subject", F.col("level").alias("__source"))
+    out = out.join(address, ["hosts", "subject"], "left").join(usual, ["source", "subject"], "left")
     return out.select("doc_id", "subject", *LEVELS[:4], F.coalesce("__address", F.lit(0)).alias("address"), F.coalesce("__source", F.lit(0)).alias("source"))
 
 

@@ -13,7 +13,7 @@ from seriate.llm import leaks
 from seriate.llm.bpe import FOLDER, Encoded, decode, encode, encode_column, vocabulary
 from seriate.llm.leaks import Automaton, decode_entities, leaked_spans, normal_words, strip_tags, without_leaks
 from seriate.llm.posts import own_paragraphs, without_quotes
-from seriate.llm.subjects import LatentModel, assign_subjects, clean_labels
+from seriate.llm.subjects import LatentModel, assign_subjects, clean_labels, with_usual
 
 PATH = os.path.join(FOLDER, "byte_bpe_50k.json")
 PIECES = ["a", "b", "the", "ing", " ", "  ", "\n", "é", "日本", "1", "23", "!", "...", "​", "<|endoftext|>", "'s", "'ll", "\t", "xx", "zzzz", "😀", "_", "-----", "=", "\r\n", "Straße", " ", "é", "lololo"]
@@ -171,6 +171,15 @@ def test_latent_model_learns_which_function_to_trust():
     assert model.posterior((8, 0)) > 0.5 > model.posterior((0, 1))
 
 
+def test_all_hosts_of_a_post_count(spark):
+    rows = [(i, "s", [h], s, 5, 0, 1, 1) for i, (h, s) in enumerate([("a.test", "law")] * 3 + [("z.test", "sport")] * 5)]
+    rows += [(20, "s", ["a.test", "z.test"], "sport", 1, 0, 1, 1), (21, "s", [], "sport", 1, 0, 1, 1), (22, "s", ["a.test", "z.test"], None, 0, 0, 0, 0), (23, "s", ["b.test", "q.test"], "law", 5, 0, 1, 1), (24, None, ["q.test"], "law", 1, 0, 1, 1), (None, "s", ["a.test", "z.test"], "sport", 1, 0, 1, 1)]
+    levels = spark.createDataFrame(rows, "doc_id long, source string, hosts array<string>, subject string, lexicon int, remark int, opening int, closing int")
+    got = {r["doc_id"]: (r["address"], r["source"] > 0) for r in with_usual(levels).collect()}
+    assert len(got) == len(rows) - 1
+    assert got[0] == got[20] == got[None] == got[23] == (4, True) and got[21] == (0, True) and got[24] == (4, False)
+
+
 def test_clean_labels(spark):
     df = spark.createDataFrame([(1, " Sport "), (1, "sport"), (1, None), (None, "law"), (2, "  "), (2, "NONE")], "doc_id long, subject string")
     assert sorted(map(tuple, clean_labels(df, "doc_id", "subject").collect())) == [(1, "sport"), (2, "none")]
