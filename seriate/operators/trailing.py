@@ -79,9 +79,17 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def correct_trees(trees: DataFrame, corrections: DataFrame) -> DataFrame:
     """Trees after late corrections (``entity_id, period, total, n``: what to add to a period's total and count, negative to take away).
 
-    Only the leaf of a correction and its ancestors change; shards without a correction pass through untouched. Corrections outside an
-    entity's built shards, or of an unknown entity, are not applied: rebuild that entity. Nulls count as 0.
+    Only the leaf of a correction and its ancestors change; shards without a correction keep their sums. A correction before an entity's first
+    period or after its last widens its calendar, with the shards that are missing. Corrections of an unknown entity are not applied: build
+    that entity. Nulls count as 0.
     """
+    span = corrections.where("entity_id IS NOT NULL AND period IS NOT NULL").groupBy("entity_id").agg(F.min("period").alias("__low"), F.max("period").alias("__high"))
+    wide = trees.join(span, "entity_id", "left").withColumn("first_period", F.least("first_period", "__low")).withColumn("last_period", F.greatest("last_period", "__high"))
+    ends = wide.where("__low IS NOT NULL").groupBy("entity_id").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.min("first_period").alias("first_period"), F.max("last_period").alias("last_period"))
+    shards = F.array_except(F.sequence(F.floor(F.col("first_period") / SHARD), F.floor(F.col("last_period") / SHARD)), F.sequence("a", "b"))
+    empty = F.array_repeat(F.lit(0).cast("long"), 2 * SHARD)
+    missing = ends.select("entity_id", F.explode(shards).alias("shard"), "first_period", "last_period", empty.alias("sums"), empty.alias("counts"))
+    trees = wide.drop("__low", "__high").unionByName(missing)
     shard = F.floor(F.col("period") / SHARD)
     slot = F.col("period") - shard * SHARD
     fixes = corrections.groupBy(F.col("entity_id"), shard.alias("shard"), slot.alias("slot")).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

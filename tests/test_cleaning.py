@@ -327,6 +327,14 @@ def test_corrections_change_leaf_and_ancestors_only(spark):
     assert {k: t for k, (t, _) in totals(trailing_totals(fixed, [30]), 30).items()} == {k: t for k, (t, _) in want.items()}
 
 
+@pytest.mark.parametrize("late", [[(1, 155, 50)], [(1, 300, 50), (1, -70, 4)], [(3, 40, 1)]])
+def test_corrections_widen_the_calendar(spark, late):
+    values = [(1, p, p % 5) for p in range(0, 150)] + [(3, 70, 2)]
+    trees = build_trees(period_totals(spark.createDataFrame(values, "e int, p int, v int"), "e", "p", "v"))
+    fixed = correct_trees(trees, spark.createDataFrame([(*f, 1) for f in late], "entity_id long, period long, total long, n long"))
+    assert totals(trailing_totals(fixed, [30]), 30) == windows_by_loops([*values, *late], 30)
+
+
 def test_latest_report(spark):
     rows = [(1, 1, 5, "2020-01-01"), (1, 1, None, "2020-01-02"), (1, 2, 7, None), (1, 2, 8, None), (1, 3, None, "2020-01-01"), (1, 3, 4, "2020-01-01"), (None, 1, 2, "2020-01-01")]
     df = spark.createDataFrame(rows, "s int, m int, x int, at string")
