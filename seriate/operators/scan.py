@@ -1,9 +1,9 @@
 """Running and moving functions over series too long for one task: one series of the whole table, or keys that hold much of it.
 
-The table is range-partitioned by keys and order and written once. A partition's part of a series is a segment. Windows run within segments; what a
-segment needs from those before it is small: totals of the earlier segments (for running functions), the last ``w`` rows of the segment before
-(for moving and shifted ones), the first row of the one after. Only series that lie in more than one partition have such needs, at most two of a
-partition's, so these tables are bounded by the number of partitions.
+The table is range-partitioned by keys and order, sorted, and written once. A partition's part of a series is a segment. Windows run within segments; what a
+segment needs from others is small: totals of the earlier segments (for running functions), the last ``w`` rows before it, be they in one
+segment or in many (for moving and shifted ones), the first row after it. Only series that lie in more than one partition have such needs, at most two of a
+partition's, so these tables are bounded by the number of partitions, and a segment is lent at most ``w`` rows. The partitions stay as they are.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from seriate.functions import vector as v
 from seriate.session import materialize
 
 
-#: An input of no more than so many bytes, by Catalyst's estimate, is sorted as one series in one task; with keys, it can have no key too large for one.
-ONE_TASK_BYTES, KEYED_BYTES = 64 << 20, 1 << 30
-#: A key with more rows than this is worked on in segments.
+#: A series with more rows than this is worked on in segments.
 HOT_ROWS = 5_000_000
+#: An input of no more than so many bytes, by Catalyst's estimate, which is never too low for a plan of scans, filters and joins, has no such series; it isn't counted.
+SMALL_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -60,81 +60,91 @@ def plain(df: DataFrame, order: v.Order, vecs: list[Vec]) -> DataFrame:
 def add_vectors(df: DataFrame, order: v.Order, vecs: list[Vec]) -> DataFrame:
     """The columns by the cheaper of :func:`plain` and :func:`spread`; the results are the same.
 
-    Small inputs are planned as plain windows at once. Of a large keyed one the rows per key are counted first (a pass over the keys, combined on the
-    map side); it is worked on in segments if a key is hot. A large table that is a single series always is.
+    Small inputs are planned as plain windows at once. Of others the rows per key are counted first (a pass over the keys, combined on the
+    map side); they are worked on in segments if a series is longer than ``HOT_ROWS``.
     """
     return (spread if too_long(df, order.keys) else plain)(df, order, vecs)
 
 
 def too_long(df: DataFrame, keys: tuple[str, ...]) -> bool:
-    """Whether a series is too long for one task."""
+    """Whether a series has more than ``HOT_ROWS`` rows. Rows are counted, since the estimate for a join is the product of its sides."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= (KEYED_BYTES if keys else ONE_TASK_BYTES):
+    if size <= SMALL_BYTES:
         return False
-    return not keys or bool(df.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).limit(1).count())
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).isEmpty()
 
 
 def spread(df: DataFrame, order: v.Order, vecs: list[Vec], partitions: int | None = None) -> DataFrame:
     """The same columns as :func:`plain`, for series of any length; the order must have no ties within a series, or ties are broken arbitrarily.
 
-    Sums of whole numbers are exact. Variances are computed from sums of differences to the series' first value. A series in which a
-    partition's segment is shorter than the widest window is partitioned more coarsely.
+    Sums of whole numbers are exact. Variances are computed from sums of differences to the series' first value.
     """
     keys, back = order.keys, max([x.w or 1 for x in vecs if x.function in v.RUNNING and (x.w or x.function == "ratios")] + [1] * any(x.function in ("deltas", "prev") for x in vecs) + [0])
     ahead = any(x.function == "next" for x in vecs)
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*[F.col(f"`{k}`").asc() for k in keys], *order.columns()]
-    while True:
-        parts = df.repartitionByRange(n_parts, *by).withColumn("__pid", F.spark_partition_id())
-        inner = v.Order(order.by, (*keys, "__pid"))
-        parts = materialize(parts.withColumn("__row", F.row_number().over(inner.spec())), "segments")
-        segments = materialize(parts.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__n")), "segment_sizes")
-        line = W.Window.partitionBy(*keys).orderBy("__pid")
-        lined = segments.withColumn("__before", F.lag("__pid").over(line)).withColumn("__after", F.lead("__pid").over(line))
-        # Segments of series in several partitions: a partition has at most two of them that begin or end elsewhere.
-        lined = lined.where("__before IS NOT NULL OR __after IS NOT NULL")
-        if n_parts == 1 or not back or not lined.where(F.col("__before").isNotNull() & F.col("__after").isNotNull() & (F.col("__n") < back) | F.col("__before").isNull() & (F.col("__n") < back)).limit(1).count():
-            break
-        n_parts = max(1, n_parts // 4)
-
-    # Totals of earlier segments and of the whole series, per source column.
+    # Rows that tie in keys and order meet in one partition. `__at` counts up along the sorted rows of a partition.
+    parts = df.repartitionByRange(n_parts, *by).sortWithinPartitions(*by)
+    parts = materialize(parts.withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "segments")
+
+    # Segments of series in several partitions: the first and the last series of a partition may go on elsewhere.
+    if keys:
+        edges = parts.groupBy("__pid").agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
+        along = W.Window.orderBy("__pid")
+        shared = F.array_distinct(F.array_compact(F.array(
+            F.when(F.col("lo").eqNullSafe(F.lag("hi").over(along)), F.col("lo")), F.when(F.col("hi").eqNullSafe(F.lead("lo").over(along)), F.col("hi"))
+        )))
+        split = edges.select("__pid", shared.alias("shared")).select("__pid", F.explode("shared").alias("k")).select("__pid", "k.*")
+    else:
+        split = parts.select("__pid").distinct()
+
+    # Totals of these segments, in one pass over their rows.
     columns = list(dict.fromkeys(x.column for x in vecs if x.column))
-    firsts = parts.where(F.col("__row") == 1).select(*keys, "__pid", *[F.col(c).alias(f"__f_{i}") for i, c in enumerate(columns)])
-    at_end = parts.alias("p").join(F.broadcast(lined.alias("l")), _same(keys, "p", "l") & (F.col("p.__pid") == F.col("l.__pid")))
-    ends = at_end.where(F.col("__row") == F.col("__n")).select(*[F.col(f"p.{k}") for k in keys], F.col("p.__pid").alias("__pid"), *[F.col(f"p.{c}").alias(f"__l_{i}") for i, c in enumerate(columns)])
-    heads = lined.alias("l").join(firsts.alias("f"), _same(keys, "l", "f") & (F.col("l.__pid") == F.col("f.__pid"))).join(ends.alias("e"), _same(keys, "l", "e") & (F.col("l.__pid") == F.col("e.__pid")))
-    whole = line.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
-    heads = heads.select(*[F.col(f"l.{k}") for k in keys], F.col("l.__pid").alias("__pid"), "__n", "__before", "__after", *[F.col(f"__f_{i}") for i in range(len(columns))], *[F.col(f"__l_{i}") for i in range(len(columns))])
-    heads = heads.select(*keys, "__pid", "__n", "__before", "__after", *[F.first(f"__f_{i}").over(whole).alias(f"__first_{i}") for i in range(len(columns))], *[F.last(f"__l_{i}").over(whole).alias(f"__last_{i}") for i in range(len(columns))], F.sum("__n").over(whole).alias("__all"))
-    heads = materialize(heads, "segment_heads")
     numeric = {c: dict(parts.dtypes)[c] not in ("string", "date", "timestamp", "timestamp_ntz", "boolean") for c in columns}
-    spanning = parts.alias("p").join(F.broadcast(heads.alias("h")), _same(keys, "p", "h") & (F.col("p.__pid") == F.col("h.__pid")))
+    nothing = F.lit(None).cast("double")
     sums = []
     for i, c in enumerate(columns):
         x = F.col(f"p.{c}")
-        d = (x - F.col(f"__first_{i}")).cast("double") if numeric[c] else F.lit(None).cast("double")
-        sums += [F.sum(x).alias(f"__s_{i}") if numeric[c] else F.lit(None).cast("double").alias(f"__s_{i}"), F.count(x).alias(f"__c_{i}"), F.min(x).alias(f"__min_{i}"), F.max(x).alias(f"__max_{i}"), F.sum(d).alias(f"__d_{i}"), F.sum(d * d).alias(f"__q_{i}")]
-    totals = spanning.groupBy(*[F.col(f"p.{k}") for k in keys], F.col("p.__pid").alias("__pid")).agg(F.count(F.lit(1)).alias("__m"), *sums)
-    prior = line.rowsBetween(W.Window.unboundedPreceding, -1)
+        numbers = (F.sum(x), F.avg(x), F.var_pop(x)) if numeric[c] else (nothing,) * 3
+        ends = F.min_by(x, F.col("p.__at")), F.max_by(x, F.col("p.__at"))
+        for name, value in zip(("s", "mean", "var", "first", "last", "c", "min", "max"), (*numbers, *ends, F.count(x), F.min(x), F.max(x))):
+            sums.append(value.alias(f"__{name}_{i}"))
+    inside = parts.alias("p").join(F.broadcast(split.alias("l")), _same(keys, "p", "l") & (F.col("p.__pid") == F.col("l.__pid")))
+    stats = inside.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.__pid").alias("__pid")).agg(F.count(F.lit(1)).alias("__n"), F.min("p.__at").alias("__start"), *sums)
+
+    # What all earlier segments of a series amount to.
+    line = W.Window.partitionBy(*keys).orderBy("__pid")
+    whole, prior = line.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing), line.rowsBetween(W.Window.unboundedPreceding, -1)
+    stats = stats.withColumns({f"__{n}_{i}": F.expr(f"{n}(__{n}_{i})").over(whole) for i in range(len(columns)) for n in ("first", "last")})
+    for i, c in enumerate(columns):
+        off = F.col(f"__mean_{i}") - F.coalesce(F.col(f"__first_{i}").cast("double"), F.lit(0.0)) if numeric[c] else nothing
+        stats = stats.withColumns({f"__d_{i}": F.col(f"__c_{i}") * off, f"__q_{i}": F.col(f"__c_{i}") * (F.col(f"__var_{i}") + off * off)})
     fold = {"s": F.sum, "c": F.sum, "min": F.min, "max": F.max, "d": F.sum, "q": F.sum}
-    earlier = totals.select(*keys, "__pid", F.sum("__m").over(prior).alias("__rows"), *[f(f"__{n}_{i}").over(prior).alias(f"__{n}_{i}") for i in range(len(columns)) for n, f in fold.items()])
-    offsets = heads.alias("h").join(earlier.alias("e"), _same(keys, "h", "e") & (F.col("h.__pid") == F.col("e.__pid"))).select("h.*", *[F.col(f"e.__{n}_{i}") for i in range(len(columns)) for n in fold], "__rows")
-    offsets = F.broadcast(materialize(offsets, "segment_offsets"))
+    heads = stats.select(
+        *keys, "__pid", "__start", F.lag("__pid").over(line).alias("__before"), F.lead("__pid").over(line).alias("__after"), F.sum("__n").over(whole).alias("__all"),
+        F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__rows"), F.sum("__n").over(line).alias("__end"),
+        *[F.col(f"__{n}_{i}") for i in range(len(columns)) for n in ("first", "last")], *[f(f"__{n}_{i}").over(prior).alias(f"__{n}_{i}") for i in range(len(columns)) for n, f in fold.items()],
+    )
+    heads = materialize(heads, "segment_heads")
 
-    # Rows lent by the neighbours.
-    rows = parts.withColumn("__own", F.lit(True))
-    lent = []
-    joined = parts.alias("p").join(F.broadcast(heads.alias("h")), _same(keys, "p", "h") & (F.col("p.__pid") == F.col("h.__pid")))
-    plain_cols = [F.col(f"p.{c}") for c in parts.columns if c != "__pid"]
+    # Rows lent to other segments: of each segment that ends less than `back` rows before another begins, those within that distance; its first row to the one before.
+    lends = []
     if back:
-        lent.append(joined.where(F.col("__after").isNotNull() & (F.col("__row") > F.col("__n") - back)).select(*plain_cols, F.col("__after").alias("__pid"), F.lit(False).alias("__own")))
+        near = W.Window.partitionBy(*keys).orderBy("__end").rangeBetween(-(back - 1), 0)
+        lender = F.collect_list(F.struct("__pid", "__start", "__rows")).over(near)
+        lent = heads.select(*keys, F.col("__after").alias("__to"), (F.col("__end") - back).alias("__from"), lender.alias("lenders")).where("__to IS NOT NULL")
+        lent = lent.select(*keys, "__to", "__from", F.explode("lenders").alias("l"))
+        lends.append(lent.select(*keys, F.col("l.__pid").alias("__pid"), "__to", (F.col("l.__start") + F.col("__from") - F.col("l.__rows")).alias("__low"), F.lit((1 << 63) - 1).alias("__high")))
     if ahead:
-        lent.append(joined.where(F.col("__before").isNotNull() & (F.col("__row") == 1)).select(*plain_cols, F.col("__before").alias("__pid"), F.lit(False).alias("__own")))
-    for part in lent:
-        rows = rows.unionByName(part)
+        lends.append(heads.where("__before IS NOT NULL").select(*keys, "__pid", F.col("__before").alias("__to"), F.col("__start").alias("__low"), F.col("__start").alias("__high")))
+    rows = parts.withColumn("__own", F.lit(True))
+    if lends:
+        lends = lends[0] if len(lends) == 1 else lends[0].unionByName(lends[1])
+        within = _same(keys, "p", "l") & (F.col("p.__pid") == F.col("l.__pid")) & F.col("p.__at").between(F.col("l.__low"), F.col("l.__high"))
+        lent = parts.alias("p").join(F.broadcast(lends.alias("l")), within).select(*[F.col(f"p.`{c}`") for c in parts.columns if c != "__pid"], F.col("l.__to").alias("__pid"), F.lit(False).alias("__own"))
+        rows = rows.unionByName(lent)
     o = v.Order(order.by, (*keys, "__pid"))
-    with_offsets = rows.alias("r").join(offsets.alias("o"), _same(keys, "r", "o") & (F.col("r.__pid") == F.col("o.__pid")), "left").select("r.*", *[F.col(f"o.{c}").alias(c) for c in offsets.columns if c not in (*keys, "__pid", "__n")])
+    with_offsets = rows.alias("r").join(F.broadcast(heads.alias("o")), _same(keys, "r", "o") & (F.col("r.__pid") == F.col("o.__pid")), "left").select("r.*", *[F.col(f"o.{c}").alias(c) for c in heads.columns if c not in (*keys, "__pid", "__start", "__before", "__after", "__end")])
     place = F.coalesce("__rows", F.lit(0)) + F.sum(F.col("__own").cast("int")).over(o.upto())
     n_all = F.coalesce("__all", F.sum(F.col("__own").cast("int")).over(o.whole()))
     out: list[Column] = []

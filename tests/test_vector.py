@@ -11,6 +11,7 @@ from seriate.functions.vector import Order
 from seriate.operators.fold import array_deltas, array_sums, array_windows, flatten, group_fold, pack, subvec
 from seriate.operators.ordered import OrderedFrame
 from seriate.operators.scan import Vec, plain, spread
+from seriate.session import materialize
 
 
 def expected(x, function, w):
@@ -85,10 +86,33 @@ def test_spread_one_series(spark):
     assert {r["l"] for r in out} == {x[-1]}
 
 
-def test_spread_wide_window_partitions_more_coarsely(spark):
+def test_spread_wide_window_borrows_from_many_segments(spark):
     df = spark.range(100).select(F.col("id").alias("t"), F.lit(1).alias("x"))
-    out = spread(df, Order.of("t"), [Vec("s", "sums", "x", 60)], partitions=16).orderBy("t").collect()
+    out = spread(df, Order.of("t"), [Vec("s", "sums", "x", 60), Vec("r", "ratios", "t", 30)], partitions=16).orderBy("t").collect()
     assert [r["s"] for r in out] == [min(i + 1, 60) for i in range(100)]
+    assert [r["r"] for r in out] == [None] * 31 + [i / (i - 30) for i in range(31, 100)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 64])
+def test_spread_many_short_series_keeps_partitions(spark, monkeypatch, partitions):
+    """Series shorter than the window cross many partition edges: the table is written once, in all partitions."""
+    from seriate.operators import scan
+
+    df = spark.range(3000).select((F.col("id") / 7).cast("int").alias("k"), F.col("id").alias("t"), (F.col("id") * 7919 % 1009).alias("x"))
+    written = []
+    monkeypatch.setattr(scan, "materialize", lambda d, name: written.append((name, d.rdd.getNumPartitions())) or materialize(d, name))
+    order, vecs = Order.of("t", keys=["k"]), [Vec("m", "sums", "x", 50), Vec("n", "next", "x"), Vec("v", "vars", "x"), Vec("q", "ratios", "x", 3)]
+    got = sorted(map(tuple, spread(df, order, vecs, partitions=partitions).collect()))
+    want = sorted(map(tuple, plain(df, order, vecs).collect()))
+    assert [r[:5] for r in got] == [r[:5] for r in want] and all(math.isclose(a, b, abs_tol=1e-6) for g, w in zip(got, want) for a, b in zip(g[5:], w[5:]) if a is not None or b is not None)
+    assert [n for n, _ in written] == ["segments", "segment_heads"] and written[0][1] == partitions
+
+
+def test_spread_null_first_value(spark):
+    df = spark.createDataFrame([(t, None if t == 0 else float(t % 5)) for t in range(60)], "t int, x double")
+    vecs = [Vec("v", "vars", "x"), Vec("a", "avgs", "x"), Vec("f", "first", "x")]
+    got, want = (sorted(map(tuple, f.collect())) for f in (spread(df, Order.of("t"), vecs, partitions=5), plain(df, Order.of("t"), vecs)))
+    assert all(x == y or math.isclose(x, y, abs_tol=1e-9) for g, w in zip(got, want) for x, y in zip(g, w))
 
 
 @pytest.mark.parametrize("how", [plain, spread])
