@@ -44,11 +44,25 @@ judged AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(shape) <> 17 T
     OR NOT (v[10] = '' OR regexp_full_match(v[10], '\d+') AND TRY_CAST(v[10] AS HUGEINT) BETWEEN 1 AND 6)
     OR len(list_filter([v[5], v[11], v[12], v[13], v[14], v[15], v[16], v[17]], lambda c: NOT regexp_full_match(c, '(-?\d+(\.\d+)?)?'))) > 0 THEN 'value' END AS reason FROM celled)"""
 
+_TIME = r"try_strptime(CASE WHEN regexp_full_match(v[{i}], '\d{{1,2}}/\d{{1,2}}/\d{{4}} \d{{1,2}}:\d\d') THEN v[{i}] END, '%m/%d/%Y %H:%M') IS NOT NULL"
+_WHOLE = r"(v[{i}] = '' OR regexp_full_match(v[{i}], '\d+') AND ({what}))"
+_ONE_OF = lambda i, *spans: _WHOLE.format(i=i, what=" OR ".join(f"TRY_CAST(v[{i}] AS HUGEINT) BETWEEN {a} AND {b}" for a, b in spans))
+#: What the cell of each field has to be.
+_GOOD = {
+    "VendorID": "regexp_full_match(v[1], '0*[12]')", "tpep_pickup_datetime": _TIME.format(i=2), "tpep_dropoff_datetime": f"(v[3] = '' OR {_TIME.format(i=3)})", "passenger_count": _WHOLE.format(i=4, what="TRUE"),
+    "trip_distance": 5, "RatecodeID": _ONE_OF(6, (1, 6), (99, 99)), "store_and_fwd_flag": "v[7] IN ('', 'Y', 'N')", "PULocationID": _ONE_OF(8, (1, 265)), "DOLocationID": _ONE_OF(9, (1, 265)), "payment_type": _ONE_OF(10, (1, 6)),
+    **{f: 11 + i for i, f in enumerate(("fare_amount", "extra", "mta_tax", "tip_amount", "tolls_amount", "improvement_surcharge", "total_amount"))},
+}
+_BROKEN = "CASE " + " ".join(f"WHEN NOT {c if isinstance(c, str) else rf"regexp_full_match(v[{c}], '(-?\d+(\.\d+)?)?')"} THEN '{f}'" for f, c in _GOOD.items()) + " END"
+
 _INTS = {4: "passenger_count", 6: "RatecodeID", 8: "PULocationID", 9: "DOLocationID", 10: "payment_type"}
 _DOUBLES = {5: "trip_distance", 11: "fare_amount", 12: "extra", 13: "mta_tax", 14: "tip_amount", 15: "tolls_amount", 16: "improvement_surcharge", 17: "total_amount"}
 
+_ROLLED = "SELECT e AS meter_id, strftime(d, '%Y-%m-%d') AS day, s7 / 100 AS total_7, CASE WHEN n7 > 0 THEN s7 / 100 / n7 END AS avg_7, n7 AS n_7, s30 / 100 AS total_30, CASE WHEN n30 > 0 THEN s30 / 100 / n30 END AS avg_30, n30 AS n_30 FROM rolled"
+
 ORACLES = {
     "p3_found": f"{_LINES} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p3_broken_fields": f"{_LINES} SELECT raw_id, {_BROKEN} AS broken_field FROM judged WHERE reason = 'value'",
     "p3_loaded": f"{_LINES} SELECT raw_id, CAST(v[1] AS INTEGER) AS VendorID, strptime(v[2], '%m/%d/%Y %H:%M') AS tpep_pickup_datetime, CASE WHEN v[3] <> '' THEN strptime(v[3], '%m/%d/%Y %H:%M') END AS tpep_dropoff_datetime, nullif(v[7], '') AS store_and_fwd_flag, "
     + ", ".join([f"CAST(nullif(v[{i}], '') AS INTEGER) AS {n}" for i, n in _INTS.items()] + [f"CAST(nullif(v[{i}], '') AS DOUBLE) AS {n}" for i, n in _DOUBLES.items()])
     + " FROM judged WHERE reason IS NULL",
@@ -56,6 +70,8 @@ ORACLES = {
     "p4_totals": f"{_ENDS} SELECT field_name, location_id, count(*) AS n_trips, count(total_amount) AS n_totals, CAST(sum(CAST(round(total_amount * 100) AS BIGINT)) AS BIGINT) AS total_cents, CAST(sum(CAST(round(fare_amount * 100) AS BIGINT)) AS BIGINT) AS fare_cents, CAST(sum(CAST(round(trip_distance * 100) AS BIGINT)) AS BIGINT) AS distance_hundredths FROM ends GROUP BY field_name, location_id",
     "p5_found": _READINGS,
     "p6_found": f"{_DAYS}, {_MONTHS} SELECT 'nyctx100' AS source_table, e AS entity_id, strftime(d, '%Y-%m-%d') AS period FROM rolled WHERE n7 = 0 AND n30 > 0 UNION ALL SELECT 'moving_avg', e, CAST(m AS VARCHAR) FROM mrolled WHERE n3 = 0 AND n12 > 0",
-    "p6_trips": f"{_DAYS} SELECT e AS meter_id, strftime(d, '%Y-%m-%d') AS day, s7 / 100 AS total_7, CASE WHEN n7 > 0 THEN s7 / 100 / n7 END AS avg_7, n7 AS n_7, s30 / 100 AS total_30, CASE WHEN n30 > 0 THEN s30 / 100 / n30 END AS avg_30, n30 AS n_30 FROM rolled",
+    "p6_trips": f"{_DAYS} {_ROLLED}",
+    "p6_corrected": f"{_DAYS} {_ROLLED}",
+    "p6_trailing_90": f"{_DAYS.replace('6 PRECEDING', '89 PRECEDING').replace('29 PRECEDING', '364 PRECEDING')} {_ROLLED.replace('_30', '_365').replace('_7', '_90')}",
     "p6_sales": f"WITH {_MONTHS} SELECT e AS series_id, m AS month, s3 AS total_3, CASE WHEN n3 > 0 THEN s3 / n3 END AS avg_3, n3 AS n_3, s12 AS total_12, CASE WHEN n12 > 0 THEN s12 / n12 END AS avg_12, n12 AS n_12 FROM mrolled",
 }

@@ -5,15 +5,18 @@ third of all rows is spread over many tasks, each holding a stretch of its serie
 is fitted over all of them (``_spread_cases``), so that the result does not depend on where the stretches are cut:
 
 * normal level: the median of the source's positive readings (exact, over all its stretches);
-* model of deviations from it, ``y[t] = phi * y[t-1] + e[t]``, phi by iterated Huber weights, scale by the median absolute deviation;
-* additive outliers: ``|e[t]|`` over the threshold; they are replaced by their prediction and the model is fitted again;
+* scale: the lesser of the median absolute deviation from it and that of the steps between readings (over the root of 2), which level shifts do not widen;
 * level shifts: the largest jumps between the windows before and after a place, taken out if they are significant, until none is left;
-  readings that are outliers before but not after that are reported as ``level_shift``;
+* model of what remains, ``y[t] = phi * y[t-1] + e[t]``, phi by iterated Huber weights;
+* additive outliers: ``|e[t]|`` over ``THRESHOLD`` scales; they are replaced by their prediction and the model is fitted again.
+  Readings that are outliers by the normal level but not by the shifted one are reported as ``level_shift``;
 * stuck runs: equal positive consecutive readings; runs over the edge of a stretch are put together from the edges alone;
 * physical limits, given per field.
 
-Threshold and prediction are bounded by the normal level (``SCALE_CAP``, ``CLEAN_CAP``, ``PHI_CAP``), so that every reading of
-``LEVEL_GUARANTEE`` or more times the level is tested as an outlier or level shift, however noisy the source is.
+``spike`` and ``level_shift`` are the model's decisions, by its own scale alone. The rule of so many times the level (``far``) is another matter: its candidates
+are the readings whose residual from the model is over the threshold or over ``CANDIDATE`` levels, whichever is less, and the rule is then checked exactly. Since a
+prediction is at most ``PHI_CAP * CLEAN_CAP`` levels, no reading of ``LEVEL_GUARANTEE`` or more levels is missed, however noisy the source is; so the
+rule decides alone which of the candidates are far.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql import window as W
 
 from seriate.session import materialize
 
-PHI_CAP, SCALE_CAP, CLEAN_CAP, THRESHOLD = 0.5, 4.5, 4.0, 6.0
-#: y >= 7 * level gives a residual of at least 7 - PHI_CAP * CLEAN_CAP = 5 levels, over the cap of the threshold, 4.5 levels.
-LEVEL_GUARANTEE = 8.0
+#: Most autocorrelation; deviations are clipped at so many levels before they predict others; scales of an outlier.
+PHI_CAP, CLEAN_CAP, THRESHOLD = 0.95, 4.0, 6.0
+#: A reading of 10 levels deviates by 9, and its residual is at least 9 - PHI_CAP * CLEAN_CAP = 5.2 levels.
+CANDIDATE, LEVEL_GUARANTEE = 5.0, 10.0
 SHIFT_WINDOW, FIT_ROUNDS = 20, 3
 
 
@@ -127,8 +131,18 @@ def _shift(y: np.ndarray, cap: np.ndarray, group: np.ndarray, starts: np.ndarray
 def _limits(m: np.ndarray, mad: np.ndarray, scale_floor: float) -> tuple[np.ndarray, np.ndarray]:
     """The outlier threshold and the cap of deviations, from normal levels (0: none) and median absolute deviations."""
     floor = np.maximum(scale_floor * m, 1e-9)
-    limit = np.maximum(np.minimum(THRESHOLD * np.maximum(1.4826 * mad, floor), SCALE_CAP * np.maximum(m, floor)), 1e-9)
-    return limit, CLEAN_CAP * np.maximum(m, floor)
+    return np.maximum(THRESHOLD * np.maximum(1.4826 * mad, floor), 1e-9), CLEAN_CAP * np.maximum(m, floor)
+
+
+def _step_sizes(y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Absolute steps from the reading before, over the root of 2, and where they are: not at the starts of series."""
+    at = np.delete(np.arange(len(y)), starts)
+    return np.abs(y[at] - y[at - 1]) / np.sqrt(2), at
+
+
+def _widened(limit: np.ndarray | float, shift: np.ndarray, level: np.ndarray | float) -> np.ndarray:
+    """The threshold at a shifted level: the noise of a higher level is larger in proportion."""
+    return limit * np.maximum(1.0, 1.0 + shift / np.where(np.asarray(level) > 0, level, np.inf))
 
 
 def _clean(y: np.ndarray, pred: np.ndarray, limit: np.ndarray, cap: np.ndarray) -> np.ndarray:
@@ -141,32 +155,37 @@ def _moments(y: np.ndarray, z: np.ndarray, before: np.ndarray, pred: np.ndarray,
     return weight * z * before, weight * before * before
 
 
-def fit_series(x: np.ndarray, group: np.ndarray, level: np.ndarray, scale_floor: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+def fit_series(x: np.ndarray, group: np.ndarray, level: np.ndarray, scale_floor: float = 0.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of readings ``x`` of the groups (sorted, 0..G-1) against each group's normal ``level``.
 
-    Returns the residual of each reading in units of its outlier threshold (over 1: an outlier), before and after level shifts.
+    Returns the residual of each reading in units of its outlier threshold (over 1: an outlier), before and after level shifts, and that before
+    in units of the threshold of candidates.
     """
     starts = _starts(group)
     m = np.where(np.isfinite(level), level, 0.0)
     y = x - m[group]
-    limits, caps = _limits(m, segment_median(np.abs(y), group, len(m)), scale_floor)
+    steps, at = _step_sizes(y, starts)
+    mad = np.fmin(segment_median(np.abs(y), group, len(m)), segment_median(steps, group[at], len(m)))
+    limits, caps = _limits(m, mad, scale_floor)
     limit, cap = limits[group], caps[group]
-    z = np.clip(y, -cap, cap)
+    shift = _shift(y, cap, group, starts, limits / THRESHOLD)
+    rest, wide = y - shift, _widened(limit, shift, m[group])
+    z = np.clip(rest, -cap, cap)
     pred = np.zeros_like(y)
     for _ in range(FIT_ROUNDS):
         before = _lag(z, starts)
-        num, den = (np.add.reduceat(v, starts) for v in _moments(y, z, before, pred, limit))
+        num, den = (np.add.reduceat(v, starts) for v in _moments(rest, z, before, pred, wide))
         phi = np.clip(np.divide(num, den, out=np.zeros_like(num), where=den > 0), -PHI_CAP, PHI_CAP)
         pred = phi[group] * before
-        z = _clean(y, pred, limit, cap)
+        z = _clean(rest, pred, wide, cap)
     pred = phi[group] * _lag(z, starts)
-    shift = _shift(y, cap, group, starts, limits / THRESHOLD)
-    return _scores(y, pred, shift, limit)
+    return _scores(y, pred, shift, limit, m[group])
 
 
-def _scores(y: np.ndarray, pred: np.ndarray, shift: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.abs(y - pred) / limit
-    return raw, np.where(shift != 0, np.abs(y - pred - shift) / limit, raw)
+def _scores(y: np.ndarray, pred: np.ndarray, shift: np.ndarray, limit: np.ndarray, level: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    residual = np.abs(y - pred)
+    raw = residual / limit
+    return raw, np.where(shift != 0, np.abs(y - pred - shift) / _widened(limit, shift, level), raw), residual / np.minimum(limit, np.maximum(CANDIDATE * level, 1e-9))
 
 
 _OUT = pa.schema([
@@ -178,12 +197,12 @@ NEGATIVE, TOO_FAST, STUCK, SPIKE, SHIFT, FAR = 1, 2, 4, 8, 16, 32
 HEAD, TAIL, BOTH = 0, 1, 2
 
 
-def _model_kinds(raw_score: np.ndarray, score: np.ndarray, x: np.ndarray, far_from: np.ndarray | float) -> np.ndarray:
+def _model_kinds(raw_score: np.ndarray, score: np.ndarray, candidate: np.ndarray, x: np.ndarray, far_from: np.ndarray | float) -> np.ndarray:
     kinds = np.zeros(len(x), np.int32)
     kinds[score > 1] |= SPIKE
     kinds[(score <= 1) & (raw_score > 1)] |= SHIFT
     # The exact check of the candidates that the model gave.
-    kinds[(kinds > 0) & (x >= far_from)] |= FAR
+    kinds[(candidate > 1) & (x >= far_from)] |= FAR
     return kinds
 
 
@@ -285,6 +304,8 @@ HALO = 2 * SHIFT_WINDOW
 
 _ENDS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("pid", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64()))])
 _ENDS_SQL = "source long, field int, pid long, n long, head array<double>, tail array<double>"
+_SPANS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("value", pa.float64())])
+_SPANS_SQL = "source long, field int, value double"
 _SUMS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("num", pa.float64()), ("den", pa.float64())])
 _SUMS_SQL = "source long, field int, num double, den double"
 _STEPS = pa.schema([("source", pa.int64()), ("field", pa.int32()), ("at", pa.int64()), ("step", pa.float64())])
@@ -327,13 +348,17 @@ class _Series:
     cap: float
     phis: list[float]
 
-    def fitted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cleaned deviations, those one reading before, and the last prediction; right from FIT_ROUNDS + 1 readings after the first on."""
-        start = np.zeros(1, np.int64)
-        z, pred = np.clip(self.y, -self.cap, self.cap), np.zeros_like(self.y)
+    @property
+    def normal(self) -> float:
+        return self.level if np.isfinite(self.level) else 0.0
+
+    def fitted(self, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cleaned deviations from the shifted level, those one reading before, and the last prediction; right from FIT_ROUNDS + 1 readings after the first on."""
+        start, rest = np.zeros(1, np.int64), self.y - shift
+        z, pred = np.clip(rest, -self.cap, self.cap), np.zeros_like(rest)
         for phi in self.phis:
             pred = phi * _lag(z, start)
-            z = _clean(self.y, pred, self.limit, self.cap)
+            z = _clean(rest, pred, _widened(self.limit, shift, self.normal), self.cap)
         return z, _lag(z, start), pred
 
     def shifts(self, steps: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -353,19 +378,35 @@ def _series(fields: list[Reading], rounds: int, cols: dict[str, np.ndarray]) ->
             own = np.flatnonzero(role[rows] == OWN)
             if not len(own):
                 continue
-            level, mad = cols[f"m{k}"][a], cols[f"d{k}"][a]
+            level, mad = cols[f"m{k}"][a], cols[f"d{k}"][a] if f"d{k}" in cols else 0.0
             m = level if np.isfinite(level) else 0.0
             limit, cap = _limits(np.array(m), np.array(mad), f.scale_floor)
             at = int(x[np.flatnonzero((role == PLACE) & ~np.isnan(x))[0]]) - own[0]
             yield _Series(int(cols["source"][a]), k, x[rows] - m, own[0], own[-1] + 1, int(at), a + rows, level, float(limit), float(cap), [cols[f"p{k}_{r}"][a] for r in range(rounds)])
 
 
-def _sums(fields: list[Reading], rounds: int):
+def _spans(fields: list[Reading]):
+    """Deviations from the level, and steps from the reading before as further fields."""
+
+    def work(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        parts = []
+        for s in _series(fields, 0, cols):
+            steps, _ = _step_sizes(s.y, np.zeros(1, np.int64))
+            # Step i leads to reading i + 1.
+            for field, value in ((s.field, np.abs(s.y[s.a : s.b])), (s.field + len(fields), steps[max(0, s.a - 1) : s.b - 1])):
+                parts.append((np.full(len(value), s.source), np.full(len(value), field), value))
+        return dict(zip(_SPANS.names, map(np.concatenate, zip(*parts)))) if parts else {n: np.empty(0) for n in _SPANS.names}
+
+    return work
+
+
+def _sums(fields: list[Reading], rounds: int, steps):
     def work(cols: dict[str, np.ndarray]) -> dict[str, list]:
         rows = []
         for s in _series(fields, rounds, cols):
-            z, before, pred = s.fitted()
-            num, den = _moments(s.y, z, before, pred, s.limit)
+            shift = s.shifts(steps.value)[0]
+            z, before, pred = s.fitted(shift)
+            num, den = _moments(s.y - shift, z, before, pred, _widened(s.limit, shift, s.normal))
             rows.append((s.source, s.field, num[s.a : s.b].sum(), den[s.a : s.b].sum()))
         return _columns(rows, _SUMS)
 
@@ -397,9 +438,10 @@ def _spread_kinds(fields: list[Reading], ratio: float, steps):
         out = []
         for s in _series(fields, FIT_ROUNDS, cols):
             own = slice(s.a, s.b)
-            pred = s.phis[-1] * s.fitted()[1]
+            shift = s.shifts(steps.value)[0]
+            pred = s.phis[-1] * s.fitted(shift)[1]
             x = cols[f"x{s.field}"][s.rows]
-            kinds = _model_kinds(*(v[own] for v in _scores(s.y, pred, s.shifts(steps.value)[0], s.limit)), x[own], ratio * s.level)
+            kinds = _model_kinds(*(v[own] for v in _scores(s.y, pred, shift, s.limit, s.normal)), x[own], ratio * s.level)
             hit = np.flatnonzero(kinds)
             none, at = np.full(len(hit), -1), s.rows[own][hit]
             times = x[own][hit] / s.level if s.level > 0 else np.zeros(len(hit))
@@ -440,17 +482,14 @@ def _spread_cases(stretch: DataFrame, known: DataFrame, fields: list[Reading], r
     """
     spark, n = stretch.sparkSession, len(fields)
     rows = _with_surroundings(stretch.join(F.broadcast(known.select("source")), "source", "left_semi"), n)
-    deviations = rows.where(F.col("role") == OWN).join(F.broadcast(known), "source").select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.abs(F.col(f"x{k}") - F.coalesce(f"m{k}", F.lit(0.0))).alias("value")) for k in range(n)])).alias("r")).select("source", "r.*")
-    wide = lambda df, value, name: df.groupBy("source").agg(*[F.max(F.when(F.col("field") == k, F.col(value))).alias(name(k)) for k in range(n)])
-    known = materialize(known.join(wide(exact_medians(deviations, ["source", "field"], "value"), "median", "d{}".format), "source", "left"), "scales")
-    for r in range(FIT_ROUNDS):
-        sums = rows.join(F.broadcast(known), "source").mapInArrow(_by_stretch(_sums(fields, r), _SUMS), _SUMS_SQL).groupBy("source", "field").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-        phi = sums.withColumn("phi", F.when(F.col("den") > 0, F.greatest(F.least(F.col("num") / F.col("den"), F.lit(PHI_CAP)), F.lit(-PHI_CAP))).otherwise(0.0))
-        known = materialize(known.join(wide(phi, "phi", lambda k, r=r: f"p{k}_{r}"), "source", "left"), "phi")
-    fitted = rows.join(F.broadcast(known), "source")
+    spans = rows.join(F.broadcast(known), "source").mapInArrow(_by_stretch(_spans(fields), _SPANS), _SPANS_SQL)
+    medians = exact_medians(spans, ["source", "field"], "value").select("source", F.pmod("field", F.lit(n)).alias("field"), "median")
+    wide = lambda df, value, name, f=F.max: df.groupBy("source").agg(*[f(F.when(F.col("field") == k, F.col(value))).alias(name(k)) for k in range(n)])
+    known = materialize(known.join(wide(medians, "median", "d{}".format, F.min), "source", "left"), "scales")
+    scaled = rows.join(F.broadcast(known), "source")
 
     found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    steps, active, open_rows = spark.sparkContext.broadcast({}), spark.sparkContext.broadcast(None), fitted
+    steps, active, open_rows = spark.sparkContext.broadcast({}), spark.sparkContext.broadcast(None), scaled
     while True:
         new: dict[tuple[int, int], list] = {}
         for s in open_rows.mapInArrow(_by_stretch(_new_steps(fields, steps, active), _STEPS), _STEPS_SQL).collect():
@@ -464,25 +503,48 @@ def _spread_cases(stretch: DataFrame, known: DataFrame, fields: list[Reading], r
             found[key] = at[order], np.r_[0, np.cumsum(step[order])]
         steps, active = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(set(new))
         # Series without a jump are done.
-        open_rows = fitted.join(F.broadcast(spark.createDataFrame([(s,) for s in {s for s, _ in new}], "source long")), "source", "left_semi")
+        open_rows = scaled.join(F.broadcast(spark.createDataFrame([(s,) for s in {s for s, _ in new}], "source long")), "source", "left_semi")
+    for r in range(FIT_ROUNDS):
+        sums = rows.join(F.broadcast(known), "source").mapInArrow(_by_stretch(_sums(fields, r, steps), _SUMS), _SUMS_SQL).groupBy("source", "field").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+        phi = sums.withColumn("phi", F.when(F.col("den") > 0, F.greatest(F.least(F.col("num") / F.col("den"), F.lit(PHI_CAP)), F.lit(-PHI_CAP))).otherwise(0.0))
+        known = materialize(known.join(wide(phi, "phi", lambda k, r=r: f"p{k}_{r}"), "source", "left"), "phi")
+    fitted = rows.join(F.broadcast(known), "source")
     return fitted.mapInArrow(_by_stretch(_spread_kinds(fields, ratio, steps), _OUT), _OUT_SQL)
 
 
+#: Rank error of the quantiles between which a median is searched, as a share of a key's rows.
+BRACKET = 1e-4
+BROADCAST_KEYS = 200_000
+
+
 def exact_medians(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median (mean of the two middle values for an even number) of ``value`` per ``keys``, as column ``median``.
 
-    Equal values are counted first, on the map side where they are, so a key's sort holds its distinct values only. Null values
-    are skipped; a key without values has no row.
+    Approximate quantiles a little below and above the middle, which combine on the map side, narrow each key down to a few ten-thousandths
+    of its rows; the rows below are counted and only those between are sorted, equal values counted first. So no task sorts a hot key. Null
+    values are skipped; a key without values has no row.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = W.Window.partitionBy(*keys).orderBy(value)
-    total = F.sum("__n").over(W.Window.partitionBy(*keys))
-    upto = counts.withColumn("__upto", F.sum("__n").over(w.rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("__all", total)
+    there = values.where(F.col(value).isNotNull())
+    around = F.percentile_approx(value, [0.5 - 5 * BRACKET, 0.5 + 5 * BRACKET], int(1 / BRACKET))
+    brackets = materialize(there.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"), around.alias("__q")).select(*keys, "__all", F.col("__q")[0].alias("__from"), F.col("__q")[1].alias("__to")), "brackets")
+    same = None
+    for k in keys:
+        cond = F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = cond if same is None else same & cond
+    # A row of a few numbers a key; more keys than this are joined by a shuffle, where AQE splits a hot one.
+    few = brackets.count() <= BROADCAST_KEYS
+    inside = there.alias("v").join((F.broadcast(brackets) if few else brackets).alias("b"), same).select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col(f"v.{value}").alias("__x"), "__all", "__from", "__to")
+    # Values up to the lower quantile count for it, so that its own copies are among the sorted ones.
+    place = F.when(F.col("__x") < F.col("__from"), F.lit(None)).when(F.col("__x") <= F.col("__to"), F.col("__x")).otherwise(F.lit(float("inf")))
+    counts = inside.groupBy(*keys, "__all", place.alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    w = W.Window.partitionBy(*keys).orderBy("__x")
+    upto = counts.withColumn("__upto", F.sum("__n").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
     low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
-    start = F.col("__upto") - F.col("__n")
-    middle = upto.where((F.col("__upto") >= low) & (start < high))
-    # The middle values: one or two distinct values.
-    return middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
+    middle = upto.where((F.col("__upto") >= low) & (F.col("__upto") - F.col("__n") < high))
+    # The middle values: one or two distinct values. A null or infinite one is outside the bracket: the quantiles were further off than they promise.
+    safe = F.raise_error(F.lit("the middle values are not between the approximate quantiles"))
+    median = (F.min("__x") + F.max("__x")) / 2
+    return middle.groupBy(*keys).agg(F.when((F.count("__x") == F.count(F.lit(1))) & (F.max("__x") < float("inf")), median).otherwise(safe).alias("median"))
 
 
 def implausible_readings(
@@ -492,14 +554,14 @@ def implausible_readings(
     """Readings of ``fields`` that are impossible, stuck or far from their source's normal, one row per row id and field.
 
     Result: ``row_id``, ``field_name``, ``source_id`` (long), booleans ``negative, too_fast, stuck, spike, level_shift, far`` and ``level_ratio``
-    (reading / median of the source's positive readings; 0 without one). ``spike``/``level_shift`` are the model's tests, ``far`` those of them that
+    (reading / median of the source's positive readings; 0 without one). ``spike``/``level_shift`` are the model's tests, ``far`` its candidates that
     reach ``ratio`` times the level. Rows repeated with the same id count once; extra columns are ignored.
 
     Null readings are passed over; rows with a null source, time or id take no part. NaN is taken as null. Infinite readings are not supported.
     A source with no positive reading has no level, so only limits apply. An empty table gives an empty result.
     """
     if ratio < LEVEL_GUARANTEE:
-        raise ValueError(f"ratio must be at least {LEVEL_GUARANTEE}: below it the outlier test does not see every such reading")
+        raise ValueError(f"ratio must be at least {LEVEL_GUARANTEE}: below it a reading need not be a candidate")
     names = [f.name for f in fields]
     needed = list(dict.fromkeys([source, time, row_id, *([end_time] if end_time else []), *names]))
     rows = df.where(F.col(source).isNotNull() & F.col(time).isNotNull() & F.col(row_id).isNotNull()).select(*needed)

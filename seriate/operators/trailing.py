@@ -2,7 +2,8 @@
 
 A tree holds ``SHARD`` periods of one entity as two arrays in heap order: ``sums`` and ``counts`` (node 1 is the whole shard, the children of node i are
 2i and 2i+1, the leaves follow from node SHARD on). Building it needs each entity's per-period totals only, so a hot entity costs no more than
-its calendar is long. A range query adds at most two nodes per level; a late correction adds to one leaf and its ancestors.
+its calendar is long. A range query adds at most two nodes per level; a late correction adds to one leaf and its ancestors. A range over several
+shards is the end of one tree, the start of another, and a range of a top tree whose leaves are the roots of the trees between.
 """
 
 from __future__ import annotations
@@ -80,13 +81,16 @@ def correct_trees(trees: DataFrame, corrections: DataFrame) -> DataFrame:
     """Trees after late corrections (``entity_id, period, total, n``: what to add to a period's total and count, negative to take away).
 
     Only the leaf of a correction and its ancestors change; shards without a correction keep their sums. A correction before an entity's first
-    period or after its last widens its calendar, with the shards that are missing. Corrections of an unknown entity are not applied: build
-    that entity. Nulls count as 0.
+    period or after its last widens its calendar, with the shards that are missing; one of a new entity makes its trees. Corrections without an entity or
+    period take no part; other nulls count as 0.
     """
-    span = corrections.where("entity_id IS NOT NULL AND period IS NOT NULL").groupBy("entity_id").agg(F.min("period").alias("__low"), F.max("period").alias("__high"))
+    corrections = corrections.where("entity_id IS NOT NULL AND period IS NOT NULL")
+    span = corrections.groupBy("entity_id").agg(F.min("period").alias("__low"), F.max("period").alias("__high"))
     wide = trees.join(span, "entity_id", "left").withColumn("first_period", F.least("first_period", "__low")).withColumn("last_period", F.greatest("last_period", "__high"))
-    ends = wide.where("__low IS NOT NULL").groupBy("entity_id").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.min("first_period").alias("first_period"), F.max("last_period").alias("last_period"))
-    shards = F.array_except(F.sequence(F.floor(F.col("first_period") / SHARD), F.floor(F.col("last_period") / SHARD)), F.sequence("a", "b"))
+    built = trees.groupBy("entity_id").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.min("first_period").alias("__first"), F.max("last_period").alias("__last"))
+    ends = span.join(built, "entity_id", "left").select("entity_id", "a", "b", F.least("__first", "__low").alias("first_period"), F.greatest("__last", "__high").alias("last_period"))
+    shards = F.sequence(F.floor(F.col("first_period") / SHARD), F.floor(F.col("last_period") / SHARD))
+    shards = F.when(F.col("a").isNull(), shards).otherwise(F.array_except(shards, F.sequence("a", "b")))
     empty = F.array_repeat(F.lit(0).cast("long"), 2 * SHARD)
     missing = ends.select("entity_id", F.explode(shards).alias("shard"), "first_period", "last_period", empty.alias("sums"), empty.alias("counts"))
     trees = wide.drop("__low", "__high").unionByName(missing)
@@ -105,59 +109,71 @@ def correct_trees(trees: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.select("entity_id", "shard", "first_period", "last_period", added("sums", "total"), added("counts", "n"))
 
 
+def _ranges(trees: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums over the leaves [low, high) of the trees in ``rows``, climbing from the leaves."""
+    total = np.zeros(len(rows), np.int64)
+    left, right = low + trees.shape[1] // 2, high + trees.shape[1] // 2
+    while (on := left < right).any():
+        take = on & (left & 1 == 1)
+        total[take] += trees[rows[take], left[take]]
+        left = left + take
+        take = on & (right & 1 == 1)
+        right = right - take
+        total[take] += trees[rows[take], right[take]]
+        left, right = left >> 1, right >> 1
+    return total
+
+
+def _top(roots: np.ndarray) -> np.ndarray:
+    """A tree whose leaves are the roots of trees that follow each other."""
+    size = 1 << max(0, len(roots) - 1).bit_length()
+    tree = np.zeros((1, 2 * size), np.int64)
+    tree[0, size : size + len(roots)] = roots
+    while size > 1:
+        tree[0, size // 2 : size] = tree[0, size : 2 * size : 2] + tree[0, size + 1 : 2 * size : 2]
+        size //= 2
+    return tree
+
+
 def _query(windows: list[int]):
     out = pa.schema([("entity_id", pa.int64()), ("period", pa.int64()), *[(f"{k}_{w}", pa.int64()) for w in windows for k in ("total", "n")]])
-
-    def ranges(tree: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Sums over [low, high) of each row's two adjoining trees, climbing from the leaves."""
-        rows = np.arange(len(tree))
-        total = np.zeros(len(tree), np.int64)
-        left, right = low + SHARD, high + SHARD
-        while (left < right).any():
-            on = left < right
-            take = on & (left & 1 == 1)
-            total[take] += tree[rows[take], left[take]]
-            left = left + take
-            take = on & (right & 1 == 1)
-            right = right - take
-            total[take] += tree[rows[take], right[take]]
-            left, right = left >> 1, right >> 1
-        return total
+    # Earlier shards that a window can reach into.
+    reach = (max(windows) - 2) // SHARD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+        held: list[np.ndarray] = []  # entity, shard and both trees of the last shards so far
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            entity, shard = b.column("entity_id").to_numpy(), b.column("shard").to_numpy()
-            width = 2 * SHARD
-            trees = [b.column(c).flatten().to_numpy().reshape(n, width) for c in ("sums", "counts")]
-            follows = np.r_[last is not None and last[0] == entity[0] and last[1] + 1 == shard[0], (entity[1:] == entity[:-1]) & (shard[1:] == shard[:-1] + 1)]
-            prior = [np.zeros_like(t) for t in trees]
-            for k, t in enumerate(trees):
-                prior[k][1:] = t[:-1]
-                if last is not None:
-                    prior[k][0] = last[2][k]
-                prior[k][~follows] = 0
-            last = (entity[-1], shard[-1], [t[-1].copy() for t in trees])
+            new = [b.column("entity_id").to_numpy(), b.column("shard").to_numpy(), *[b.column(c).flatten().to_numpy().reshape(n, 2 * SHARD) for c in ("sums", "counts")]]
+            entity, shard, *trees = [np.concatenate(p) for p in zip(held, new)] if held else new
+            earlier = len(entity) - n
+            held = [a[max(0, len(a) - reach) :].copy() for a in (entity, shard, *trees)] if reach > 0 else []
+            starts = np.flatnonzero(np.r_[True, (entity[1:] != entity[:-1]) | (shard[1:] != shard[:-1] + 1)])
+            run_start = np.repeat(starts, np.diff(np.r_[starts, len(entity)]))
+            tops = [_top(t[:, 1]) for t in trees]
             first, final = b.column("first_period").to_numpy(), b.column("last_period").to_numpy()
             cols: dict[str, list[np.ndarray]] = {name: [] for name in out.names}
             for slot in range(SHARD):
-                period = shard * SHARD + slot
+                period = new[1] * SHARD + slot
                 on = (period >= first) & (period <= final)
                 if not on.any():
                     continue
-                cols["entity_id"].append(entity[on])
+                rows = np.flatnonzero(on) + earlier
+                cols["entity_id"].append(new[0][on])
                 cols["period"].append(period[on])
+                fill = lambda v, rows=rows: np.full(len(rows), v)
                 for w in windows:
-                    low = max(0, slot - w + 1)
-                    here = np.full(int(on.sum()), low), np.full(int(on.sum()), slot + 1)
-                    back = np.full(int(on.sum()), SHARD + slot - w + 1), np.full(int(on.sum()), SHARD)
-                    for name, t, p in (("total", trees[0], prior[0]), ("n", trees[1], prior[1])):
-                        got = ranges(t[on], *here)
-                        if slot - w + 1 < 0:
-                            got = got + ranges(p[on], *back)
+                    back, from_slot = divmod(slot - w + 1, SHARD)
+                    for name, t, top in (("total", trees[0], tops[0]), ("n", trees[1], tops[1])):
+                        got = _ranges(t, rows, fill(max(0, slot - w + 1)), fill(slot + 1))
+                        if back < 0:
+                            far = rows + back
+                            there = far >= run_start[rows]
+                            got[there] += _ranges(t, far[there], fill(from_slot)[there], fill(SHARD)[there])
+                            if back < -1:
+                                got += _ranges(top, np.zeros(len(rows), np.int64), np.maximum(far + 1, run_start[rows]), rows)
                         cols[f"{name}_{w}"].append(got)
             if cols["period"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[f.name])) for f in out], schema=out)
@@ -169,10 +185,10 @@ def trailing_totals(trees: DataFrame, windows: list[int]) -> DataFrame:
     """``total_w`` and ``n_w`` (sum and count of values) over the ``w`` periods ending with each period, for each of ``windows``.
 
     One row per entity and period of its calendar, which runs from its first to its last period with any row; periods without a row count as
-    empty. Windows may be 1 to ``SHARD + 1`` periods long (a window then lies in at most two shards).
+    empty. Windows may be of any length from 1 period; a task holds the trees of as many shards as the longest one can reach into.
     """
-    if not all(1 <= w <= SHARD + 1 for w in windows):
-        raise ValueError(f"windows must be between 1 and {SHARD + 1} periods")
+    if not windows or min(windows) < 1:
+        raise ValueError("windows must hold at least one period")
     ordered = trees.repartition("entity_id").sortWithinPartitions("entity_id", "shard")
     kinds = ", ".join(f"{k}_{w} long" for w in windows for k in ("total", "n"))
     return ordered.mapInArrow(_query(windows), f"entity_id long, period long, {kinds}")

@@ -224,7 +224,7 @@ def test_readings_edge_cases(spark):
 
 
 def test_model_sees_every_far_reading():
-    """The bound on threshold and prediction: any reading of the guaranteed multiple of the level is an outlier or a shift."""
+    """The bound on candidates and prediction: any reading of the guaranteed multiple of the level is a candidate."""
     import numpy as np
 
     rnd = np.random.default_rng(3)
@@ -234,9 +234,9 @@ def test_model_sees_every_far_reading():
         group = np.sort(rnd.integers(0, 3, n))
         group = np.unique(group, return_inverse=True)[1]
         level = anomaly.segment_median(x, group, group.max() + 1)
-        raw, score = anomaly.fit_series(x, group, level)
+        _, score, candidate = anomaly.fit_series(x, group, level)
         far = x >= anomaly.LEVEL_GUARANTEE * level[group]
-        assert (raw[far] > 1).all() and np.isfinite(score).all()
+        assert (candidate[far] > 1).all() and np.isfinite(score).all()
 
 
 def test_level_shift_is_told_from_spikes():
@@ -244,7 +244,7 @@ def test_level_shift_is_told_from_spikes():
 
     x = np.r_[np.full(100, 1.0), np.full(60, 9.0)] + np.random.default_rng(1).normal(0, 0.02, 160)
     x[30] = 12.0
-    raw, score = anomaly.fit_series(x, np.zeros(160, int), np.array([1.0]))
+    raw, score, _ = anomaly.fit_series(x, np.zeros(160, int), np.array([1.0]))
     assert raw[30] > 1 and score[30] > 1
     assert (raw[110:] > 1).all() and (score[110:] <= 1).mean() > 0.9
 
@@ -255,7 +255,7 @@ def test_any_number_of_level_shifts_is_taken_out():
     regimes = [1.0, 9.0, 20.0, 9.0, 30.0, 12.0, 25.0, 1.0, 14.0]
     x = np.repeat(regimes, 100) + np.random.default_rng(2).normal(0, 0.02, 900)
     x[450] = 90.0
-    raw, score = anomaly.fit_series(x, np.zeros(900, int), np.array([1.0]))
+    raw, score, _ = anomaly.fit_series(x, np.zeros(900, int), np.array([1.0]))
     high = np.repeat(np.array(regimes) > 8, 100)
     assert (raw[high] > 1).all() and score[450] > 1
     assert all((score[i : i + 100] <= 1).mean() > 0.9 for i in range(0, 900, 100))
@@ -305,17 +305,19 @@ def test_trailing_totals(spark):
     values = [(rnd.choice([1, 2, 3, 4, None]), rnd.choice([None, rnd.randint(-200, 500)]), rnd.choice([None, rnd.randint(-9, 99)])) for _ in range(300)] + [(9, 1000, None), (8, -3, 5)]
     df = spark.createDataFrame(values, "e int, p int, v int").withColumn("shard", F.lit("clash"))
     trees = build_trees(period_totals(df, "e", "p", "v"))
-    out = trailing_totals(trees, [1, 7, 30, SHARD + 1])
-    for w in (1, 7, 30, SHARD + 1):
-        assert totals(out, w) == windows_by_loops(values, w)
+    widths = [1, 7, 30, SHARD, SHARD + 1, SHARD + 2, 90, 2 * SHARD + 1, 200, 365, 5000]
+    for some in (widths, [90], [1]):
+        out = trailing_totals(trees, some)
+        for w in some:
+            assert totals(out, w) == windows_by_loops(values, w)
     with pytest.raises(ValueError):
-        trailing_totals(trees, [SHARD + 2])
+        trailing_totals(trees, [0])
     assert trailing_totals(build_trees(period_totals(df.limit(0), "e", "p", "v")), [7]).count() == 0
 
 
 def test_corrections_change_leaf_and_ancestors_only(spark):
     values = [(1, p, p % 5) for p in range(0, 150)]
-    fixes = [(1, 10, 100, 1), (1, 10, -7, 0), (1, 130, 50, 2), (2, 5, 1, 1)]
+    fixes = [(1, 10, 100, 1), (1, 10, -7, 0), (1, 130, 50, 2), (None, 5, 1, 1), (1, None, 1, 1)]
     trees = build_trees(period_totals(spark.createDataFrame(values, "e int, p int, v int"), "e", "p", "v"))
     fixed = correct_trees(trees, spark.createDataFrame(fixes, "entity_id long, period long, total long, n long"))
     before, after = ({(r["entity_id"], r["shard"]): r for r in t.collect()} for t in (trees, fixed))
@@ -327,7 +329,7 @@ def test_corrections_change_leaf_and_ancestors_only(spark):
     assert {k: t for k, (t, _) in totals(trailing_totals(fixed, [30]), 30).items()} == {k: t for k, (t, _) in want.items()}
 
 
-@pytest.mark.parametrize("late", [[(1, 155, 50)], [(1, 300, 50), (1, -70, 4)], [(3, 40, 1)]])
+@pytest.mark.parametrize("late", [[(1, 155, 50)], [(1, 300, 50), (1, -70, 4)], [(3, 40, 1)], [(5, -3, 4), (5, 200, 1), (1, 20, 1)]])
 def test_corrections_widen_the_calendar(spark, late):
     values = [(1, p, p % 5) for p in range(0, 150)] + [(3, 70, 2)]
     trees = build_trees(period_totals(spark.createDataFrame(values, "e int, p int, v int"), "e", "p", "v"))
@@ -346,3 +348,36 @@ def test_empty_tables(spark, tmp_path, name):
     for t in ("nyctx100", "nyctx100_raw", "moving_avg"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cleaning.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_planted_spikes_and_shifts():
+    """Recall and precision of the model's own flags on autocorrelated meters with planted spikes and level shifts."""
+    import numpy as np
+
+    rnd = np.random.default_rng(11)
+    meters, n = 60, 600
+    x, spikes, shifted = [], np.zeros((meters, n), bool), np.zeros((meters, n), bool)
+    for m in range(meters):
+        noise = rnd.normal(0, 0.12, n)
+        for t in range(1, n):
+            noise[t] += 0.5 * noise[t - 1]
+        v = rnd.choice([1.0, 4.0, 30.0]) * np.maximum(0.05, 1 + noise)
+        if m % 2:
+            a = int(rnd.integers(100, 400))
+            shifted[m, a : a + 150] = True
+            v[shifted[m]] *= rnd.choice([4.0, 8.0])
+        at = rnd.choice(n, 6, replace=False)
+        spikes[m, at] = True
+        v[at] *= rnd.choice([5.0, 12.0, 40.0], 6)
+        x.append(v)
+    group = np.repeat(np.arange(meters), n)
+    level = np.array([np.median(v) for v in x])
+    raw, score, _ = anomaly.fit_series(np.concatenate(x), group, level)
+    spike, shift = score > 1, (score <= 1) & (raw > 1)
+    spikes, shifted = spikes.ravel(), shifted.ravel() & ~spikes.ravel()
+    figures = {
+        "spike recall": (spike & spikes).sum() / spikes.sum(), "spike precision": (spike & spikes).sum() / spike.sum(),
+        "shift recall": (shift & shifted).sum() / shifted.sum(), "shift precision": (shift & shifted).sum() / shift.sum(),
+    }
+    print({k: round(float(v), 3) for k, v in figures.items()})
+    assert min(figures.values()) > 0.9, figures
