@@ -64,7 +64,8 @@ ORACLES = {
     "p3_found": f"{_LINES} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_broken_fields": f"{_LINES} SELECT raw_id, {_BROKEN} AS broken_field FROM judged WHERE reason = 'value'",
     "p3_loaded": f"{_LINES} SELECT raw_id, CAST(v[1] AS INTEGER) AS VendorID, strptime(v[2], '%m/%d/%Y %H:%M') AS tpep_pickup_datetime, CASE WHEN v[3] <> '' THEN strptime(v[3], '%m/%d/%Y %H:%M') END AS tpep_dropoff_datetime, nullif(v[7], '') AS store_and_fwd_flag, "
-    + ", ".join([f"CAST(nullif(v[{i}], '') AS INTEGER) AS {n}" for i, n in _INTS.items()] + [f"CAST(nullif(v[{i}], '') AS DOUBLE) AS {n}" for i, n in _DOUBLES.items()])
+    + "CASE WHEN v[4] <> '' AND TRY_CAST(v[4] AS INTEGER) IS NULL THEN 'passenger_count' END AS out_of_range, "
+    + ", ".join([f"TRY_CAST(nullif(v[{i}], '') AS INTEGER) AS {n}" for i, n in _INTS.items()] + [f"CAST(nullif(v[{i}], '') AS DOUBLE) AS {n}" for i, n in _DOUBLES.items()])
     + " FROM judged WHERE reason IS NULL",
     "p4_found": f"{_ENDS} SELECT field_name, location_id FROM ends WHERE location_id IS NOT NULL GROUP BY ALL HAVING count(*) * 100 >= 4 * (SELECT count(*) FROM trips)",
     "p4_totals": f"{_ENDS} SELECT field_name, location_id, count(*) AS n_trips, count(total_amount) AS n_totals, CAST(sum(CAST(round(total_amount * 100) AS BIGINT)) AS BIGINT) AS total_cents, CAST(sum(CAST(round(fare_amount * 100) AS BIGINT)) AS BIGINT) AS fare_cents, CAST(sum(CAST(round(trip_distance * 100) AS BIGINT)) AS BIGINT) AS distance_hundredths FROM ends GROUP BY field_name, location_id",

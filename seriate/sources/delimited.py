@@ -97,16 +97,17 @@ def rejected_lines(df: DataFrame, line_col: str, fields: list[Field]) -> DataFra
     return bad.select(*keep, F.col("__reason").alias("reason"), F.col("__field").alias("broken_field"))
 
 
-def typed_rows(df: DataFrame, line_col: str, fields: list[Field], keep: list[str]) -> DataFrame:
+def typed_rows(df: DataFrame, line_col: str, fields: list[Field], keep: list[str], lost: str = "out_of_range") -> DataFrame:
     """The valid lines as typed rows: the columns ``keep`` of ``df``, then one column per field; empty fields are null.
 
-    A whole number beyond the range of its type, though well-formed, has no value there and becomes null.
+    A whole number beyond the range of its type, though well-formed, has no value there and becomes null; column ``lost`` names such fields
+    (with commas between them; null if there are none).
     """
     line = F.regexp_replace(F.coalesce(F.col(line_col), F.lit("")), r"\r\z", "")
     good = df.withColumn("__line", line).where(F.col("__line").rlike(line_pattern(fields)))
     # A valid line has no comma and no doubled quote inside a field: splitting at commas is exact.
     parts = good.withColumn("__parts", F.split("__line", ","))
-    out = []
+    out, gone = [], []
     for i, f in enumerate(fields):
         text = F.regexp_replace(F.col("__parts")[i], r'^[ \t"]+|[ \t"]+$', "")
         text = F.when(text == "", None).otherwise(text)
@@ -115,7 +116,9 @@ def typed_rows(df: DataFrame, line_col: str, fields: list[Field], keep: list[str
         else:
             value = text.try_cast(f.kind)
         out.append(value.alias(f.name))
-    return parts.select(*keep, *out)
+        if f.kind == "int":
+            gone.append(F.when(text.isNotNull() & value.isNull(), F.lit(f.name)))
+    return parts.select(*keep, *out, F.nullif(F.concat_ws(",", *gone), F.lit("")).alias(lost))
 
 
 def trip_fields() -> list[Field]:

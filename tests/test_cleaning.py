@@ -79,6 +79,7 @@ LINES = [
     ("," * 300_000, "column_count"),
     ('"' + '""' * 200_000, "quoting"),
     (with_field(4, "1" * 100_000), None),
+    (with_field(3, "99999999999"), None),
 ]
 
 
@@ -91,6 +92,7 @@ def test_lines(spark):
     for i in range(4):
         assert loaded[i]["tpep_pickup_datetime"] == dt.datetime(2009, 2, 2, 14, 44) and loaded[i]["total_amount"] == 17.71 and loaded[i]["store_and_fwd_flag"] == "N"
     assert loaded[4]["tpep_pickup_datetime"] == dt.datetime(2008, 2, 29) and loaded[5]["tpep_dropoff_datetime"] is None and loaded[10]["total_amount"] is None
+    assert {i for i, r in loaded.items() if r["out_of_range"]} == {len(LINES) - 1} and loaded[len(LINES) - 1]["out_of_range"] == "passenger_count"
     fields = {r["raw_id"]: r["broken_field"] for r in rejected_lines(df, "raw_line", trip_fields()).collect()}
     assert fields[LINES.index((with_field(0, "3"), "value"))] == "VendorID" and fields[LINES.index((with_field(16, "NaN"), "value"))] == "total_amount" and fields[11] is None
 
