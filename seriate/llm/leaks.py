@@ -1,4 +1,9 @@
-"""Test items that leak into a corpus, found by streaming its words through a suffix automaton of all items.
+"""Test items that leak into a corpus, found by streaming its words through suffix automata of the items.
+
+The corpus is read once. A document whose words hold no run of ``min_words`` words of any item is left out at once: the codes of its runs are looked
+up in a filter of the codes of the items' runs (a Bloom filter of bounded size, broadcast; it may let too many through, never too few). The others,
+with their text, go on to the blocks of items that have one of these runs, found by a join of codes. Items are spread over blocks of about
+``BLOCK_WORDS`` words, none of which ever sees the driver; a task builds the automaton of its block and follows its documents through it.
 
 The items' words, normalised like the corpus, form a generalised suffix automaton: every run of words of any item is a path in it. A document's
 words are followed through it; the automaton keeps the longest run ending at each word that occurs in an item. A run of at least
@@ -7,24 +12,34 @@ words are followed through it; the automaton keeps the longest run ending at eac
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
 import unicodedata
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most words, and most items, of one automaton (about 0.3 KB a word in each worker; state sets of at most that many items); more items are searched in blocks.
+from seriate.session import materialize
+
+#: Words and items of an automaton, about (some 0.3 KB a word in a task; state sets of at most that many items).
 BLOCK_WORDS, BLOCK_ITEMS = 200_000, 2_000
+#: Bits of the filter for a run of an item, and most bits of all: 16 MB. With more than a million different runs it lets more documents through to the exact search.
+RUN_BITS, MOST_BITS = 64, 1 << 27
+#: A document's runs are looked up in the filter at so many places; the runs of so many words of documents at a time.
+PROBES, TOGETHER = (0, 21, 42), 500_000
 
 _HTML = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<![a-zA-Z][^<>]*>", re.S)
 _BBCODE = re.compile(r"\[/?(?:quote|b|i|u|s|url|img|code|list|size|color|font|center|left|right|spoiler|email|youtube|table|tr|td|sup|sub|pre|hr|li|ul|ol|\*)(?:[=\s][^\[\]]*)?/?\]", re.I)
 _CHAIN = re.compile(r"&(?:amp;|#0*38;|#x0*26;)+", re.I)
 #: Zero-width characters, the byte order mark, and the soft hyphen.
 _UNSEEN = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
+_UNSEEN_RUN = re.compile("[" + "".join(map(chr, _UNSEEN)) + "]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -131,108 +146,305 @@ class Automaton:
                 yield i, n, items[s]
 
 
-_SPANS = "item_id long, first_word int, n_words int, doc_words int"
+# Where the normalised words stand in the original text
+
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+class _Placed:
+    """A text of which each character knows from where to where its origin stands in the original."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+
+    def sub(self, pattern: re.Pattern, replace: Callable[[str], str]) -> None:
+        parts, start, end, at = [], [], [], 0
+        for m in pattern.finditer(self.text):
+            a, b = m.span()
+            new = replace(m.group())
+            parts += [self.text[at:a], new]
+            start += self.start[at:a] + [self.start[a]] * len(new)
+            end += self.end[at:a] + [self.end[b - 1]] * len(new)
+            at = b
+        if at:
+            self.text = "".join([*parts, self.text[at:]])
+            self.start, self.end = start + self.start[at:], end + self.end[at:]
+
+    def compatible(self) -> None:
+        """Compatibility forms, a character with what composes with it at a time."""
+        groups: list[tuple[int, int, str]] = []
+        first, form = 0, ""
+        for i, c in enumerate(self.text):
+            own = c if c.isascii() else unicodedata.normalize("NFKC", c)
+            apart = not form or (c.isascii() or not unicodedata.combining(unicodedata.normalize("NFKD", c)[0]) and unicodedata.normalize("NFKC", self.text[first : i + 1]) == form + own)
+            if apart:
+                if i:
+                    groups.append((first, i, form))
+                first, form = i, own
+            else:
+                form = unicodedata.normalize("NFKC", self.text[first : i + 1])
+        if self.text:
+            groups.append((first, len(self.text), form))
+        self.start, self.end = [self.start[a] for a, _, f in groups for _ in f], [self.end[b - 1] for _, b, f in groups for _ in f]
+        self.text = "".join(f for _, _, f in groups)
+
+
+def placed_words(text: str | None) -> list[tuple[str, int, int]]:
+    """The words of :func:`normal_words`, and from where to where each stands in ``text``."""
+    if not text:
+        return []
+    t = _Placed(text)
+    while "&" in t.text:
+        before = t.text
+        t.sub(_CHAIN, lambda _: "&")
+        t.sub(_REFERENCE, html.unescape)
+        if t.text == before:
+            break
+    t.sub(_HTML, lambda _: " ")
+    t.sub(_BBCODE, lambda _: " ")
+    if not t.text.isascii():
+        t.sub(_UNSEEN_RUN, lambda _: "")
+        t.compatible()
+    origin = [i for i, c in enumerate(t.text) for _ in c.lower()]
+    return [(m.group(), t.start[origin[m.start()]], t.end[origin[m.end() - 1]]) for m in _WORD.finditer(t.text.lower())]
+
+
+# Codes of runs of words
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Codes(dict):
+    """64-bit codes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        code = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return code
+
+
+def run_codes(lists: list[list[str]], n: int, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all runs of ``n`` words in the lists, and which list each is of."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    total = int(sizes.sum())
+    if total < n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    words = np.fromiter((codes[w] for one in lists for w in one), np.uint64, total)
+    out = np.zeros(total - n + 1, np.uint64)
+    for j in range(n):
+        out = out * _FACTOR + words[j : total - n + 1 + j]
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    whole = owner[: total - n + 1] == owner[n - 1 :]
+    return out[whole], owner[: total - n + 1][whole]
+
+
+class RunFilter:
+    """The codes of the items' runs as bits."""
+
+    def __init__(self, width: int, places: np.ndarray, words: np.ndarray):
+        """``width``: the number of bits is a power of two. ``words``: those 64 bits at ``places`` that aren't all 0."""
+        self.width, self.bits = width, np.zeros((1 << width) // 64, np.uint64)
+        self.bits[places] = words
+
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(codes), bool)
+        for r in PROBES:
+            turned = codes << np.uint64(r) | codes >> np.uint64(64 - r) if r else codes
+            at = turned >> np.uint64(64 - self.width)
+            found &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+        return found
+
+
+def _run_filter(runs: DataFrame) -> RunFilter:
+    """The filter of the column ``code``; built by an aggregate, at most ``MOST_BITS / 64`` numbers come to the driver."""
+    codes = runs.select("code").distinct()
+    width = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(max(1, codes.count()) * RUN_BITS)))).bit_length() - 1
+    turned = [F.call_function("shiftleft", "code", F.lit(r)).bitwiseOR(F.call_function("shiftrightunsigned", "code", F.lit(64 - r))) if r else F.col("code") for r in PROBES]
+    at = codes.select(F.explode(F.array(*[F.call_function("shiftrightunsigned", t, F.lit(64 - width)) for t in turned])).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    table = at.groupBy(F.call_function("shiftright", "at", F.lit(6)).alias("place")).agg(F.bit_or(bit).alias("word")).toArrow()
+    return RunFilter(width, table.column("place").to_numpy(), table.column("word").to_numpy().view(np.uint64))
+
+
+# The search
+
+@dataclass(frozen=True)
+class Leaks:
+    """``documents``: those that may hold a run of an item, with a number ``cid`` and their ``text``. ``spans``: with ``cid``, and the columns of :func:`leaked_spans`."""
+
+    documents: DataFrame
+    spans: DataFrame
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, min_words: int = 10) -> Leaks:
+    """The search of :func:`leaked_spans`."""
+    known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).cast("string").alias("passage")).where("item_id IS NOT NULL AND passage IS NOT NULL")
+    known = materialize(known.mapInArrow(_item_words(min_words), "item_id long, words string, n_words long"), "items")
+    size = known.agg(F.sum("n_words").alias("words"), F.count(F.lit(1)).alias("items")).first()
+    blocks = max(1, math.ceil((size["words"] or 0) / BLOCK_WORDS), math.ceil(size["items"] / BLOCK_ITEMS))
+    known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int"))
+    runs = materialize(known.select("words", "block").mapInArrow(_item_runs(min_words), "code long, block int").distinct(), "runs")
+
+    kind = docs.schema[doc_id].dataType
+    flat = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+    shared = docs.sparkSession.sparkContext.broadcast(_run_filter(runs))
+    documents = flat.mapInArrow(_may_leak(shared, min_words), f"doc {kind.simpleString()}, text string, codes array<long>")
+    documents = materialize(documents.withColumn("cid", F.monotonically_increasing_id()), "may_leak")
+
+    pairs = documents.select("cid", F.explode("codes").alias("code")).join(runs, "code").select("cid", "block").distinct()
+    # A block's documents are spread over several tasks, each with the items of the block.
+    salts = max(1, math.ceil(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) / blocks))
+    there = pairs.join(documents.select("cid", "doc", "text"), "cid").select("block", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int").alias("salt"), "cid", F.lit(None).cast("long").alias("item_id"), "doc", "text")
+    each = known.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("cid"), "item_id", F.lit(None).cast(kind).alias("doc"), F.col("words").alias("text"))
+    # Items have no cid and so come before the documents.
+    work = each.unionByName(there).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("cid").asc_nulls_first(), "item_id")
+    spans = work.mapInArrow(_follow(min_words), f"cid long, `{doc_id}` {kind.simpleString()}, item_id long, first_word int, n_words int, doc_words int")
+    return Leaks(documents.withColumnRenamed("doc", doc_id), spans)
 
 
 def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, min_words: int = 10) -> DataFrame:
     """Runs of at least ``min_words`` consecutive words that a document shares with an item, longest runs, one row per document, item and run.
 
-    Columns ``doc_id, item_id, first_word, n_words, doc_words`` (places count words from 0). Documents are neither shuffled nor cut. Items are taken in
-    blocks of bounded size, each an automaton of its own. Null, empty or blank texts and items of fewer words than ``min_words`` give no rows.
+    Columns ``doc_id, item_id, first_word, n_words, doc_words`` (places count words from 0). Null, empty or blank texts and items of fewer words
+    than ``min_words`` give no rows. A document or item given twice with one id has its runs twice. Only documents that may leak are shuffled.
     """
-    def blocks() -> Iterator[list[tuple[int, list[str]]]]:
-        block, size = [], 0
-        for row in items.select(F.col(item_id).cast("long"), passage).where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).toLocalIterator():
-            words = normal_words(row[1])
-            if len(words) < min_words:
-                continue
-            if block and (size + len(words) > BLOCK_WORDS or len(block) >= BLOCK_ITEMS):
-                yield block
-                block, size = [], 0
-            block.append((row[0], words))
-            size += len(words)
-        if block:
-            yield block
+    return find_leaks(docs, doc_id, text, items, item_id, passage, min_words).spans.drop("cid")
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    flat = docs.select(F.col(doc_id), F.col(text)).where(F.col(text).isNotNull())
-    found = None
-    for block in blocks():
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        part = flat.mapInArrow(_follow(shared, min_words, doc_id), f"`{doc_id}` {kind}, {_SPANS}")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = flat.limit(0).select(doc_id, *[F.lit(None).cast(p.split()[1]).alias(p.split()[0]) for p in _SPANS.split(", ")])
-    return found
 
+def _item_words(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, w) for i, w in zip(b.column(0).to_pylist(), map(normal_words, b.column(1).to_pylist())) if len(w) >= min_words]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([" ".join(w) for _, w in rows], pa.string()), pa.array([len(w) for _, w in rows], pa.int64())], names=["item_id", "words", "n_words"])
 
-_BUILT: dict = {}
+    return run
+
+
+def _item_runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for b in batches:
+            found, owner = run_codes([w.split(" ") for w in b.column(0).to_pylist()], min_words, codes)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(1).take(pa.array(owner))], names=["code", "block"])
+
+    return run
 
 
-def _follow(shared, min_words: int, doc_id: str):
-    key = uuid.uuid4().hex
+def _may_leak(shared, min_words: int):
+    """Documents with a run that the filter holds, with the codes of these runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT.clear()  # one automaton at a time in a worker
-            _BUILT[key] = Automaton(shared.value, min_words)
-        auto = _BUILT[key]
+        known, codes = shared.value, _Codes()
+
+        def looked_up(batch: pa.RecordBatch, rows: list[int], lists: list[list[str]]) -> Iterator[pa.RecordBatch]:
+            found, owner = run_codes(lists, min_words, codes)
+            hit = known.holds(found)
+            if not hit.any():
+                return
+            found, owner = found[hit].view(np.int64), owner[hit]
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            each = [np.unique(part) for part in np.split(found, starts[1:])]
+            at = pa.array(np.array(rows)[owner[starts]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(each, pa.list_(pa.int64()))], names=["doc", "text", "codes"])
+
         for b in batches:
-            ids, out = [], []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows, lists, size = [], [], 0
+            for i, text in enumerate(b.column(1).to_pylist()):
                 words = normal_words(text)
                 if len(words) < min_words:
                     continue
-                open_runs: dict[int, list[int]] = {}
-                for i, n, hit in auto.runs(words):
-                    for item in hit:
-                        run_ = open_runs.get(item)
-                        if run_ and run_[1] == i - 1:
-                            run_[1] = i
-                            continue
-                        if run_:
-                            ids.append(d)
-                            out.append((item, run_[0], run_[1] - run_[0] + 1, len(words)))
-                        open_runs[item] = [i - min_words + 1, i]
-                for item, (a, e) in open_runs.items():
-                    ids.append(d)
-                    out.append((item, a, e - a + 1, len(words)))
-            if out:
-                cols = list(zip(*out))
+                rows.append(i)
+                lists.append(words)
+                size += len(words)
+                if size >= TOGETHER:
+                    yield from looked_up(b, rows, lists)
+                    rows, lists, size = [], [], 0
+            if lists:
+                yield from looked_up(b, rows, lists)
+
+    return run
+
+
+def _item_spans(auto: Automaton, words: list[str], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """Item, first word and number of words of each run."""
+    open_runs: dict[int, list[int]] = {}
+    for i, _, hit in auto.runs(words):
+        for item in hit:
+            run = open_runs.get(item)
+            if run and run[1] == i - 1:
+                run[1] = i
+                continue
+            if run:
+                yield item, run[0], run[1] - run[0] + 1
+            open_runs[item] = [i - min_words + 1, i]
+    for item, (a, e) in open_runs.items():
+        yield item, a, e - a + 1
+
+
+def _follow(min_words: int):
+    """Follow documents through the automaton of their block, whose items come first; one automaton at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, items, auto = None, [], None
+        for b in batches:
+            rows = []
+            cols = [b.column(c).to_pylist() for c in ("block", "salt", "cid", "item_id", "text")]
+            for i, (block, salt, cid, item, text) in enumerate(zip(*cols)):
+                if (block, salt) != now:
+                    now, items, auto = (block, salt), [], None
+                if cid is None:
+                    items.append((item, text.split(" ")))
+                    continue
+                if auto is None:
+                    auto = Automaton(items, min_words)
+                words = normal_words(text)
+                rows += [(i, *span, len(words)) for span in _item_spans(auto, words, min_words)]
+            if rows:
+                at, *values = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, b.column(0).type), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]],
-                    schema=pa.schema([pa.field(doc_id, b.column(0).type), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("doc_words", pa.int32())]),
+                    [b.column("cid").take(pa.array(at)), b.column("doc").take(pa.array(at)), pa.array(values[0], pa.int64()), *[pa.array(v, pa.int32()) for v in values[1:]]],
+                    names=["cid", "doc", "item_id", "first_word", "n_words", "doc_words"],
                 )
 
     return run
 
 
-def without_leaks(docs: DataFrame, doc_id: str, text: str, spans: DataFrame, max_words: int = 13, max_share: float = 0.2) -> DataFrame:
-    """What of each leaking document can stay: ``doc_id, removed_words, share, dropped, words`` (its normalised words without the spans).
+def without_leaks(leaks: Leaks, doc_id: str, max_share: float = 0.2) -> DataFrame:
+    """What of each leaking document can stay: ``doc_id, removed_words, share, dropped, kept_text``.
 
-    A span of more than ``max_words`` words is removed; a document of which spans cover more than ``max_share`` is ``dropped`` as a whole and keeps
-    no words. Overlapping spans count once. Documents without a span have no row. ``doc_id`` must be unique in ``docs``.
+    ``kept_text`` is the document's own text less its spans, from the first character of a span's first word to the last of its last; all else stays as it was,
+    mark-up included. A document of which spans cover more than ``max_share`` of the words is ``dropped`` as a whole and keeps an empty text. Overlapping
+    spans count once. Documents without a span have no row; a document given twice has two.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    cuts = spans.groupBy(doc_id).agg(F.array_sort(F.collect_set(F.struct("first_word", "n_words"))).alias("cuts"))
-    joined = docs.select(doc_id, F.col(text).alias("__text")).join(cuts, doc_id)
+    # Of the spans that begin at a word the longest: no more than the document has words.
+    longest = leaks.spans.groupBy("cid", "first_word").agg(F.max("n_words").alias("n_words"))
+    cuts = longest.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("cuts"))
+    joined = leaks.documents.select("cid", doc_id, "text").join(cuts, "cid").select(doc_id, "text", "cuts")
+    kind = joined.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text_, cut in zip(b.column("__text").to_pylist(), b.column("cuts").to_pylist()):
-                words = normal_words(text_)
-                covered, removed = set(), set()
+            for text, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words = placed_words(text)
+                merged: list[list[int]] = []
                 for c in cut:
-                    span = range(c["first_word"], c["first_word"] + c["n_words"])
-                    covered.update(span)
-                    if c["n_words"] > max_words:
-                        removed.update(span)
-                share = len(covered) / max(1, len(words))
+                    a, e = c["first_word"], c["first_word"] + c["n_words"]
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], e)
+                    else:
+                        merged.append([a, e])
+                covered = sum(e - a for a, e in merged)
+                share = covered / len(words)
+                kept, at = [], 0
+                for a, e in merged:
+                    kept.append(text[at : words[a][1]])
+                    at = words[e - 1][2]
                 drop = share > max_share
-                rows.append((len(words) if drop else len(removed), share, drop, [] if drop else [w for i, w in enumerate(words) if i not in removed]))
+                rows.append((len(words) if drop else covered, share, drop, "" if drop else "".join([*kept, text[at:]])))
             cols = list(zip(*rows)) if rows else [[]] * 4
-            kinds = [pa.int32(), pa.float64(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(doc_id), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[doc_id, "removed_words", "share", "dropped", "words"])
+            kinds = [pa.int32(), pa.float64(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[doc_id, "removed_words", "share", "dropped", "kept_text"])
 
-    return joined.mapInArrow(run, f"`{doc_id}` {kind}, removed_words int, share double, dropped boolean, words array<string>")
+    return joined.mapInArrow(run, f"`{doc_id}` {kind}, removed_words int, share double, dropped boolean, kept_text string")

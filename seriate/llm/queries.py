@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriate.llm.bpe import encode_column
-from seriate.llm.leaks import leaked_spans, without_leaks
+from seriate.llm.leaks import Leaks, find_leaks, without_leaks
 from seriate.llm.quantiles import K, RANK_ERROR, build_sketches, merge_sketches, sketch_quantiles
 from seriate.llm.subjects import assign_subjects
 from seriate.llm.topn import top_n
@@ -87,18 +87,18 @@ def p7_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source").join(counts, "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return leaked_spans(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "passage", MIN_WORDS)
+def _leaks(spark: SparkSession, sf: str) -> Leaks:
+    return find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "passage", MIN_WORDS)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold ten or more consecutive words of a test item, with the item."""
-    return _spans(spark, sf).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf).spans.select("doc_id", "item_id").distinct()
 
 
 def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
     """The shared runs of words."""
-    return _spans(spark, sf)
+    return _leaks(spark, sf).spans.drop("cid")
 
 
 def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,10 +108,8 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    """What stays of the leaking documents."""
-    # Every span that the search reports is removed.
-    cleaned = without_leaks(_table(spark, sf, "documents"), "doc_id", "text", _spans(spark, sf), max_words=MIN_WORDS - 1)
-    return cleaned.select("doc_id", "removed_words", "share", "dropped", F.concat_ws(" ", "words").alias("kept_text"))
+    """What stays of the leaking documents: their texts without every run of words that the search reports."""
+    return without_leaks(_leaks(spark, sf), "doc_id")
 
 
 def _subjects(spark: SparkSession, sf: str) -> DataFrame:

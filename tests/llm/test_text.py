@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriate.llm import leaks
+from seriate.llm import leaks, queries
 from seriate.llm.bpe import FOLDER, Encoded, decode, encode, encode_column, vocabulary
-from seriate.llm.leaks import Automaton, decode_entities, leaked_spans, normal_words, strip_tags, without_leaks
+from seriate.llm.leaks import Automaton, decode_entities, leaked_spans, normal_words, placed_words, strip_tags, without_leaks
 from seriate.llm.posts import own_paragraphs, without_quotes
 from seriate.llm.subjects import LatentModel, assign_subjects, clean_labels, with_usual
 
@@ -137,14 +137,56 @@ def test_leaks(spark, monkeypatch, block):
         assert leaked_spans(part[0], "doc_id", "text", part[1], "item_id", "passage").count() == 0
 
 
+def test_search_without_use_of_the_filter(spark, monkeypatch):
+    """A filter too small for the items lets documents through; the result is the same."""
+    docs, items = leak_tables(spark)
+    items = items.unionByName(spark.createDataFrame([(100 + i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(10)], "item_id long, passage string"))
+    want = sorted(map(tuple, leaked_spans(docs, "doc_id", "text", items, "item_id", "passage").na.fill(-1).collect()))
+    monkeypatch.setattr(leaks, "MOST_BITS", 64)
+    assert sorted(map(tuple, leaked_spans(docs, "doc_id", "text", items, "item_id", "passage").na.fill(-1).collect())) == want
+    assert leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "passage").documents.count() == 6
+
+
+def test_placed_words():
+    text = "a&amp;amp;lt;b&gt;ONE&lt;/b&gt; cafe\u0301 ﬁ½ ①x &eacute;t\u200bé [i]ΟΔΟΣ[/i] İs 한\u1100\u1161\u11a8 &notit; ﷺ Ⅷ"
+    words = placed_words(text)
+    assert [w for w, _, _ in words] == normal_words(text)
+    where = {w: text[a:b] for w, a, b in words}
+    assert where["café"] == "cafe\u0301" and where["fi1"] == "ﬁ½" and where["été"] == "&eacute;t\u200bé" and where["οδος"] == "ΟΔΟΣ" and where["one"] == "ONE"
+    rnd = random.Random(8)
+    pool = ["&", "amp;", "lt;", "<b>", "</i>", "[quote=x]", "[/b]", "é", "e\u0301", "\u0327", "\u1100", "\u1161", "\u11a8", "ﬃ", "\u200b", "\u00ad", " ", "\n", "Σ", "İ", "½", "a", "B", "7", "_", "#65;", "#x41", "ｶ\uff9e", "\u09c7", "\u09be", "𝐀", "゛", "か\u3099"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25)))
+        words = placed_words(text)
+        assert [w for w, _, _ in words] == normal_words(text), repr(text)
+        assert all(0 <= a < b <= len(text) for _, a, b in words)
+
+
 def test_removal(spark):
     docs, items = leak_tables(spark)
-    docs = docs.where("doc_id IS NOT NULL")
-    spans = leaked_spans(docs, "doc_id", "text", items, "item_id", "passage")
-    out = {r["doc_id"]: r for r in without_leaks(docs, "doc_id", "text", spans, max_words=9).collect()}
-    assert out[1]["dropped"] and out[1]["words"] == []
-    assert not out[7]["dropped"] and out[7]["removed_words"] == 10 and out[7]["words"][:2] == ["and", "filler"]
-    assert set(out) == {1, 2, 6, 7}
+    found = leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "passage")
+    out = {r["doc_id"]: r for r in without_leaks(found, "doc_id").collect()}
+    assert out[1]["dropped"] and out[1]["kept_text"] == "" and out[1]["removed_words"] == 15
+    assert not out[7]["dropped"] and out[7]["removed_words"] == 10 and out[7]["kept_text"] == " and " + "filler words here " * 50_000
+    assert set(out) == {1, 2, 6, 7, None}
+    kept = {r["doc_id"]: r["kept_text"] for r in without_leaks(found, "doc_id", 1.0).collect()}
+    assert kept[1] == "before  after" and kept[None] == "" and kept[6] == "&lt;b&gt;!"
+
+
+def test_found_in_the_documents(spark):
+    """The query over the test tables against a search of every item in every text."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "eval_items"))
+    words = [(r["doc_id"], normal_words(r["text"])) for r in docs.collect()]
+    assert all([w for w, _, _ in placed_words(r["text"])] == normal_words(r["text"]) for r in docs.collect())
+    want = by_runs(words, [(r["item_id"], normal_words(r["passage"])) for r in items.collect()], 10)
+    got = [tuple(r) for r in queries.p8_found(spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    left = {r["doc_id"]: r for r in queries.p8_cleaned(spark, "/root/testdata/sf0.001").collect()}
+    assert set(left) == {d for d, _ in want}
+    cleaned = [(d, normal_words(r["kept_text"])) for d, r in left.items()]
+    assert not by_runs(cleaned, [(r["item_id"], normal_words(r["passage"])) for r in items.collect()], 10)
+    found = {r["item_id"]: r["n_docs"] for r in queries.p8_leaked_items(spark, "/root/testdata/sf0.001").collect()}
+    assert sum(found.values()) == len(want)
 
 
 def test_own_words():
