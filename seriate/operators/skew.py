@@ -1,10 +1,12 @@
-"""Per-key results when a few keys hold most rows: two-stage salted aggregation."""
+"""Results when a few keys hold most rows: two-stage salted aggregation, and joins that leave hot keys where they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriate.session import materialize
+
 _MERGE = {"count": F.sum, "count_all": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -45,3 +47,26 @@ def salted_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str,
         partial.append(first.alias(f"__p_{out}"))
         final.append(_MERGE[kind](f"__p_{out}").alias(out))
     return salted.groupBy(*keys, "__salt").agg(*partial).groupBy(*keys).agg(*final)
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
+def look_up(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
+    """Left join of ``left`` with ``right``, which has one row per ``keys`` at most, without a task that gets all rows of a hot key.
+
+    Keys that hold at least ``share`` of the rows of ``left``, ``1 / share`` of them at most, are looked up in a broadcast; only the rows of other keys are
+    shuffled. Null keys match null keys. Columns: those of ``left``, then those of ``right`` that are no keys (names must not clash).
+    """
+    new = [c for c in right.columns if c not in keys]
+    hot = materialize(heavy_keys(left, keys, share).select(*keys), "hot_keys")
+    theirs = right.alias("r").join(F.broadcast(hot.alias("h")), _same(keys, "r", "h"), "left_semi")
+    marked = left.alias("l").join(F.broadcast(hot.withColumn("__hot", F.lit(True)).alias("h")), _same(keys, "l", "h"), "left").select("l.*", "__hot")
+    parts = []
+    for rows, side in ((marked.where("__hot"), F.broadcast(theirs.alias("r"))), (marked.where("__hot IS NULL"), right.alias("r"))):
+        parts.append(rows.alias("l").join(side, _same(keys, "l", "r"), "left").select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in new]))
+    return parts[0].unionByName(parts[1])

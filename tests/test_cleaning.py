@@ -6,6 +6,7 @@ import re
 import statistics
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from seriate import cleaning
@@ -13,7 +14,7 @@ from seriate.operators import anomaly
 from seriate.operators.anomaly import Reading, exact_medians, implausible_readings
 from seriate.operators.dedupe import once_per_id
 from seriate.operators.latest import latest_report
-from seriate.operators.skew import heavy_keys, salted_aggregate
+from seriate.operators.skew import heavy_keys, look_up, salted_aggregate
 from seriate.operators.trailing import SHARD, build_trees, correct_trees, period_totals, trailing_totals
 from seriate.sources.delimited import rejected_lines, trip_fields, typed_rows
 
@@ -383,3 +384,15 @@ def test_planted_spikes_and_shifts():
     }
     print({k: round(float(v), 3) for k, v in figures.items()})
     assert min(figures.values()) > 0.9, figures
+
+
+def test_look_up_leaves_hot_keys_where_they_are(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i) for i in range(600)]
+    left = spark.createDataFrame(rows, "k int, x int")
+    right = spark.createDataFrame([(None, "n"), (7, "seven"), (8, "eight"), (5000, "far")], "k int, y string")
+    got = look_up(left, right, ["k"], 0.2)
+    assert got.columns == ["k", "x", "y"]
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in [Row(k=k, x=x, y={None: "n", 7: "seven", 8: "eight"}.get(k)) for k, x in rows])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert look_up(left.limit(0), right, ["k"]).count() == 0 and look_up(left, right.limit(0), ["k"]).where("y IS NULL").count() == 600
