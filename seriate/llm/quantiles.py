@@ -17,18 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, FIRST_SECTIONS = 64, 3
 #: Rows of a partition that are grouped at once.
 TOGETHER = 500_000
+#: Sketches of a partition that are held open.
+HELD = 10_000
 #: Stands for a null key.
 LEAST = -(2**63)
 #: Share of the distance from the top that a rank is off by with one standard error, for section size k: RANK_ERROR / k.
 RANK_ERROR = math.sqrt(0.0512 / FIRST_SECTIONS)
 
 
+def rank_bound(q: float, n: Column, k: int = K) -> Column:
+    """By how many ranks the ``q`` quantile of ``n`` values may be off: four standard errors and one row; none while the sketch is exact."""
+    return F.when(n < 2 * FIRST_SECTIONS * k, 0).otherwise(F.ceil(4 * RANK_ERROR / k * (1 - q) * n) + 1).cast("long")
+
+
 class Compactor:
     """One level: values, number of compactions (state), sections and their size."""
 
@@ -155,15 +162,22 @@ def _batch(keys: list[tuple], sketches: list[Sketch], schema: pa.Schema) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def _seed(key: tuple, part: int) -> int:
+    """The same when a task is run again: hashes of numbers don't depend on the process."""
+    return hash((*(LEAST if v is None else v for v in key), part)) & 0xFFFF
+
+
 def build_sketches(df: DataFrame, keys: list[str], values: list[str], k: int = K) -> DataFrame:
     """Sketches of each of ``values`` per ``keys`` (whole numbers), one row per key, field and partition of ``df``; to be merged.
 
     Columns ``keys`` (long), ``field_name``, ``part``, then the sketch. Rows are sketched where they are: nothing but sketches is shuffled,
-    so a key that holds a third of all rows is worked on by all tasks. Nulls and NaN are left out; null keys form a group of their own.
+    so a key that holds a third of all rows is worked on by all tasks. Sketches are given out when more than ``HELD`` are open; a key and part may
+    then have several. Coins are thrown by key and partition, so that errors of parts cancel. Nulls and NaN are left out; null keys form a group of
+    their own.
     """
     schema = pa.schema([*[(c, pa.int64()) for c in keys], ("field_name", pa.string()), ("part", pa.int32()), *_STATE])
 
-    def add(held: dict[tuple, Sketch], rows: list[pa.RecordBatch]) -> None:
+    def add(held: dict[tuple, Sketch], rows: list[pa.RecordBatch], part: int) -> None:
         table = pa.Table.from_batches(rows)
         key_cols = [np.where(table.column(c).is_null().to_numpy(), LEAST, table.column(c).fill_null(0).to_numpy()) for c in keys]
         order = np.lexsort(key_cols[::-1])
@@ -184,7 +198,7 @@ def build_sketches(df: DataFrame, keys: list[str], values: list[str], k: int = K
                 if end > at:
                     sketch = held.get((*head, f))
                     if sketch is None:
-                        sketch = held[(*head, f)] = Sketch(k, hash(head) & 0xFFFF)
+                        sketch = held[(*head, f)] = Sketch(k, _seed(head, part))
                     sketch.update(x[at:end])
                 at = end
 
@@ -199,10 +213,16 @@ def build_sketches(df: DataFrame, keys: list[str], values: list[str], k: int = K
             rows.append(b)
             n += b.num_rows
             if n >= TOGETHER:
-                add(held, rows)
+                add(held, rows, part)
                 rows, n = [], 0
+                if len(held) > HELD:
+                    yield from given_out(held, part)
+                    held = {}
         if rows:
-            add(held, rows)
+            add(held, rows, part)
+        yield from given_out(held, part)
+
+    def given_out(held: dict[tuple, Sketch], part: int) -> Iterator[pa.RecordBatch]:
         items = list(held.items())
         for at in range(0, len(items), 2000):
             some = items[at : at + 2000]
@@ -232,7 +252,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str], k: int = K, fan_in: int
             lists = {c: cols[c].to_pylist() for c in names if c != "items"}
             offsets, items = np.asarray(cols["items"].offsets), cols["items"].values.to_numpy()
             for i, head in enumerate(heads):
-                one = unpack(lists["n"][i], lists["sizes"][i], lists["states"][i], lists["sections"][i], lists["widths"][i], items[offsets[i] : offsets[i + 1]], k, hash(head[: len(keys)]) & 0xFFFF)
+                one = unpack(lists["n"][i], lists["sizes"][i], lists["states"][i], lists["sections"][i], lists["widths"][i], items[offsets[i] : offsets[i + 1]], k, _seed(head[: len(keys)], head[-1]))
                 if head == now:
                     merged.merge(one)
                     continue
@@ -249,7 +269,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str], k: int = K, fan_in: int
 
     def stage(df: DataFrame, part) -> DataFrame:
         df = df.select(*by, part.cast("int").alias("part"), *names)
-        return df.repartition(*by, "part").sortWithinPartitions(*by, "part", "n", "items").mapInArrow(run, sql)
+        return df.repartition(*by, "part").sortWithinPartitions(*by, "part", "n", F.xxhash64("items")).mapInArrow(run, sql)
 
     return stage(stage(sketches, F.pmod("part", F.lit(fan_in))), F.lit(0)).drop("part")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriate.llm.bpe import encode_column
 from seriate.llm.leaks import Leaks, find_leaks, without_leaks
-from seriate.llm.quantiles import K, RANK_ERROR, build_sketches, merge_sketches, sketch_quantiles
+from seriate.llm.quantiles import build_sketches, merge_sketches, rank_bound, sketch_quantiles
 from seriate.llm.subjects import assign_subjects
 from seriate.llm.topn import top_n
 from seriate.operators.dedupe import once_per_id
@@ -36,14 +36,17 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of distance and fare per pick-up location, of each day and of all days; the latter (a null day) come from the days' sketches."""
+    """Percentiles of distance and fare per pick-up location, of each day and of all days; the latter (a null day) come from the days' sketches.
+
+    ``p01_off`` and so on say by how many ranks each may be off: the high tail is protected, so the bound is a share of the distance from the top.
+    """
     days = materialize(_daily(spark, sf), "days")
     together = merge_sketches(days.withColumn("part", F.pmod("day", F.lit(64))), ["location_id"])
     qs = list(PERCENTILES.values())
     per_day = sketch_quantiles(days, ["location_id", "day"], qs)
     overall = sketch_quantiles(together, ["location_id"], qs).withColumn("day", F.lit(None).cast("long"))
     day = F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("pickup_day")
-    return per_day.unionByName(overall).select("location_id", day, "field_name", "n", *[F.col("values")[i].alias(name) for i, name in enumerate(PERCENTILES)])
+    return per_day.unionByName(overall).select("location_id", day, "field_name", "n", *[F.col("values")[i].alias(name) for i, name in enumerate(PERCENTILES)], *[rank_bound(q, F.col("n")).alias(f"{name}_off") for name, q in PERCENTILES.items()])
 
 
 def p1_daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,8 +65,11 @@ def p1_within_bounds(spark: SparkSession, sf: str) -> DataFrame:
     e = wide.select(F.col("location_id").alias("l"), F.col("field_name").alias("f"), "n", "name", "q", "estimate")
     joined = counts.join(e, counts.location_id.eqNullSafe(e.l) & (counts.field_name == e.f))
     ranks = joined.groupBy("l", "f", "n", "name", "q").agg(F.sum(F.when(F.col("x") < F.col("estimate"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("estimate"), F.col("c")).otherwise(0)).alias("upto"))
-    slack = 4 * RANK_ERROR / K * (1 - F.col("q")) * F.col("n") + 1
-    inside = (F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)
+    slack = F.lit(None)
+    for name, q in PERCENTILES.items():
+        slack = F.when(F.col("name") == name, rank_bound(q, F.col("n"))).otherwise(slack)
+    # An exact quantile is the least value with a share of at least q up to it.
+    inside = (F.col("below") < F.greatest(F.ceil(F.col("q") * F.col("n") - 1e-9), F.lit(1)) + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack - 1e-9)
     return ranks.select(F.col("l").alias("location_id"), F.col("f").alias("field_name"), F.col("name").alias("percentile"), "n", inside.alias("within_bound"))
 
 

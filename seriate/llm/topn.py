@@ -15,7 +15,8 @@ from pyspark.sql import window as W
 
 from seriate.session import materialize
 
-#: Cutoffs of so many groups (under 100 bytes each) are broadcast; beyond, they are joined by a shuffle, where skewed groups are split.
+#: Cutoffs of so many groups (under 100 bytes each) are broadcast. Of more groups those with the most rows are, at most this many; the rows of the
+#: others, each with fewer than that share of all rows, are joined with theirs by a shuffle.
 BROADCAST_GROUPS = 200_000
 LEAST = -(2**63)
 
@@ -78,24 +79,29 @@ def top_n(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], n: in
     fixed = [f"__p{i}" for i in range(last)]
     state = state.select(
         *groups, F.lit(0).alias("__level"), *[F.lit(LEAST).alias(p) for p in fixed], F.col("__lo"), F.col("__hi"),
-        F.lit(n).cast("long").alias("__need"), (F.col("__n") <= n).alias("__done"),
+        F.lit(n).cast("long").alias("__need"), (F.col("__n") <= n).alias("__done"), F.col("__n").alias("__size"),
     )
     state = materialize(state, "cutoffs")
+    n_groups, n_todo, n_rows = state.agg(F.count(F.lit(1)), F.count_if(~F.col("__done")), F.coalesce(F.sum("__size"), F.lit(0))).first()
+    # At most BROADCAST_GROUPS groups can hold more than this.
+    hot = n_rows / BROADCAST_GROUPS if n_groups > BROADCAST_GROUPS else None
     pool, first = rows, True
-    while True:
-        todo = state.where(~F.col("__done"))
-        n_todo = todo.count()
-        if not n_todo:
-            break
-        state = materialize(_refine(pool, state, n_todo, groups, words, fixed, fan), "cutoffs")
+    while n_todo:
+        state = materialize(_refine(pool, state, hot, groups, words, fixed, fan), "cutoffs")
         if first:
-            pool, first = materialize(_at_or_above(pool, state, groups, words, fixed).select(*rows.columns), "survivors"), False
-    found = _at_or_above(pool, state, groups, words, fixed)
+            pool, first = materialize(_at_or_above(pool, state, hot, groups, words, fixed).select(*rows.columns), "survivors"), False
+        n_todo = state.where(~F.col("__done")).count()
+    found = _at_or_above(pool, state, hot, groups, words, fixed)
     return found.select(*groups, *[c for c in names if c not in groups])
 
 
-def _with_state(rows: DataFrame, state: DataFrame, n_groups: int, groups: list[str]) -> DataFrame:
-    return rows.join(F.broadcast(state) if n_groups <= BROADCAST_GROUPS else state, groups)
+def _with_state(rows: DataFrame, state: DataFrame, hot: float | None, groups: list[str]) -> DataFrame:
+    """Rows with the cutoffs of their groups. ``hot``: groups of more rows are looked up in a broadcast, others by a shuffle; None: all in a broadcast."""
+    if hot is None:
+        return rows.join(F.broadcast(state), groups)
+    often = F.broadcast(state.where(F.col("__size") > hot))
+    seldom = rows.join(often.select(*groups), groups, "left_anti").join(state.where(F.col("__size") <= hot), groups)
+    return rows.join(often, groups).unionByName(seldom)
 
 
 def _at_level(cols: list[str]) -> Column:
@@ -105,9 +111,9 @@ def _at_level(cols: list[str]) -> Column:
     return out
 
 
-def _at_or_above(rows: DataFrame, state: DataFrame, groups: list[str], words: list[str], fixed: list[str]) -> DataFrame:
+def _at_or_above(rows: DataFrame, state: DataFrame, hot: float | None, groups: list[str], words: list[str], fixed: list[str]) -> DataFrame:
     """Rows at or above their group's lower bound."""
-    joined = _with_state(rows, state, state.count(), groups)
+    joined = _with_state(rows, state, hot, groups)
     keep = F.col(words[-1]) >= F.col("__lo")
     for i in range(len(words) - 2, -1, -1):
         w = F.col(words[i])
@@ -115,10 +121,10 @@ def _at_or_above(rows: DataFrame, state: DataFrame, groups: list[str], words: li
     return joined.where(keep)
 
 
-def _refine(pool: DataFrame, state: DataFrame, n_todo: int, groups: list[str], words: list[str], fixed: list[str], fan: int) -> DataFrame:
+def _refine(pool: DataFrame, state: DataFrame, hot: float | None, groups: list[str], words: list[str], fixed: list[str], fan: int) -> DataFrame:
     """One round: count the rows between the midpoints of every open interval and keep the part in which the n-th row lies."""
     todo = state.where(~F.col("__done"))
-    joined = _with_state(pool, todo, n_todo, groups)
+    joined = _with_state(pool, todo, hot, groups)
     w = _at_level(words)
     inside = (w >= F.col("__lo")) & (w <= F.col("__hi"))
     for i, p in enumerate(fixed):
@@ -144,6 +150,6 @@ def _refine(pool: DataFrame, state: DataFrame, n_todo: int, groups: list[str], w
         *groups, F.when(deeper, F.col("__level") + 1).otherwise(F.col("__level")).alias("__level"),
         *[F.when(deeper & (F.col("__level") == i), F.col("__min")).otherwise(F.col(p)).alias(p) for i, p in enumerate(fixed)],
         F.when(deeper, F.col("__amin")).otherwise(F.col("__min")).alias("__lo"), F.when(deeper, F.col("__amax")).otherwise(F.col("__max")).alias("__hi"),
-        need.alias("__need"), (exact | stuck).alias("__done"),
+        need.alias("__need"), (exact | stuck).alias("__done"), "__size",
     )
     return moved.unionByName(state.where("__done"))

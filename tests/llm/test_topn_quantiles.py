@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriate.llm import topn
-from seriate.llm.quantiles import K, RANK_ERROR, Sketch, build_sketches, merge_sketches, pack, sketch_quantiles, unpack
+from seriate.llm import quantiles, topn
+from seriate.llm.quantiles import K, RANK_ERROR, Sketch, _seed, build_sketches, merge_sketches, pack, sketch_quantiles, unpack
 from seriate.llm.topn import double_code, top_n
 
 
@@ -60,12 +60,24 @@ def test_top_n(spark, seed, n, fan):
 
 
 def test_top_n_by_joined_cutoffs(spark, monkeypatch):
-    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 2)
     rows = random_rows(5, 800)
     got = top_n(spark.createDataFrame(rows, SCHEMA), ["g", "h"], [("score", True), ("at", False), ("id", False)], 4)
     assert {(r["g"], r["h"], r["id"]) for r in got.collect()} == by_sorting(rows, 4)
 
 
+def test_top_n_of_many_groups_one_of_them_hot(spark):
+    """More groups than cutoffs are broadcast for; one holds a third of the rows."""
+    n = topn.BROADCAST_GROUPS + 1000
+    df = spark.range(n + n // 2).select(F.when(F.col("id") < n, F.col("id")).otherwise(-1).alias("g"), (F.col("id") * 7919 % 100_003).cast("double").alias("score"), "id")
+    got = top_n(df, ["g"], [("score", True), ("id", False)], 2, unique=True)
+    assert got.groupBy((F.col("g") < 0).alias("hot")).count().orderBy("hot").collect() == [(False, n), (True, 2)]
+    best = sorted(range(n, n + n // 2), key=lambda i: (-(i * 7919 % 100_003), i))[:2]
+    assert sorted(r["id"] for r in got.where("g < 0").collect()) == sorted(best)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+
+
 def test_top_n_edge_cases(spark):
     df = spark.createDataFrame([(1, "a", 5.0, None, 1)] * 4, SCHEMA)
     assert top_n(df, ["g", "h"], [("score", True), ("id", True)], 2).count() == 1
@@ -150,3 +162,32 @@ def test_sketches_in_spark(spark):
             for q, x in zip(qs, r["values"]):
                 assert abs(np.searchsorted(values, x, "right") - q * len(values)) <= 5 * RANK_ERROR / K * (1 - q) * len(values) + 1
     assert sketch_quantiles(merge_sketches(build_sketches(df.limit(0), ["k"], ["x"]), ["k"]), ["k"], qs).count() == 0
+
+
+def test_sketches_given_out_early(spark, monkeypatch):
+    """A partition that holds few sketches open gives out several of a key; they merge to the same counts."""
+    monkeypatch.setattr(quantiles, "HELD", 3)
+    monkeypatch.setattr(quantiles, "TOGETHER", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        df = spark.range(6000).select((F.col("id") % 20).alias("k"), F.col("id").cast("double").alias("x")).coalesce(2)
+        sketches = build_sketches(df, ["k"], ["x"])
+        merged = sketch_quantiles(merge_sketches(sketches, ["k"]), ["k"], [0.5, 1.0]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["k"], r["n"], r["values"][0], r["values"][1]) for r in merged} == {(k, 300, 20.0 * 149 + k, 20.0 * 299 + k) for k in range(20)}
+
+
+def test_partitions_throw_their_own_coins():
+    """The mean error of many merged parts is no bias."""
+    rnd = np.random.default_rng(12)
+    off = []
+    for trial in range(10):
+        values = rnd.random(200 * 600)
+        whole = None
+        for part, x in enumerate(np.split(values, 200)):
+            s = Sketch(seed=_seed((5, trial), part)).update(x)
+            whole = s if whole is None else whole.merge(s)
+        for q in (0.01, 0.25):
+            off.append(((values <= whole.quantiles([q])[0]).sum() - q * len(values)) / (RANK_ERROR / K * (1 - q) * len(values)))
+    assert abs(np.mean(off)) < 0.6, off
