@@ -38,7 +38,7 @@ _HTML = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<![a-zA-Z][^<>]*>", re.S)
 _BBCODE = re.compile(r"\[/?(?:quote|b|i|u|s|url|img|code|list|size|color|font|center|left|right|spoiler|email|youtube|table|tr|td|sup|sub|pre|hr|li|ul|ol|\*)(?:[=\s][^\[\]]*)?/?\]", re.I)
 _CHAIN = re.compile(r"&(?:amp;|#0*38;|#x0*26;)+", re.I)
 #: Zero-width characters, the byte order mark, and the soft hyphen.
-_UNSEEN = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
+_UNSEEN = [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD]
 _UNSEEN_RUN = re.compile("[" + "".join(map(chr, _UNSEEN)) + "]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,13 +60,18 @@ def strip_tags(text: str) -> str:
     return _BBCODE.sub(" ", text) if "[" in text else text
 
 
+def without_unseen(text: str) -> str:
+    """Without zero-width characters and soft hyphens."""
+    return text if text.isascii() else _UNSEEN_RUN.sub("", text)
+
+
 def normal_words(text: str | None) -> list[str]:
     """Lower-case runs of letters and digits, after entities, tags, unseen characters and compatibility forms are dealt with."""
     if not text:
         return []
     text = strip_tags(decode_entities(text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_UNSEEN))
+        text = unicodedata.normalize("NFKC", without_unseen(text))
     return _WORD.findall(text.lower())
 
 

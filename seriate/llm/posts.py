@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from seriate.llm.leaks import _UNSEEN, decode_entities
+from seriate.llm.leaks import decode_entities, without_unseen
 
 _TAG = re.compile(r"\[(/?)quote\b[^\]\n]*\]|<(/?)blockquote\b[^<>]*>", re.I)
 _BREAK = re.compile(r"<br\s*/?>|</?p\b[^<>]*>|</?div\b[^<>]*>|<hr\s*/?>", re.I)
@@ -77,7 +77,7 @@ def own_paragraphs(text: str | None) -> tuple[list[str], list[str]]:
     """Paragraphs of the poster's own words, and the hosts of the links among them. None, empty and blank texts have none."""
     if not text or text.isspace():
         return [], []
-    text = mend(decode_entities(text)).translate(_UNSEEN).replace("\r\n", "\n").replace("\r", "\n")
+    text = without_unseen(mend(decode_entities(text))).replace("\r\n", "\n").replace("\r", "\n")
     kept: list[str] = []
     for line in text.split("\n"):
         if line.lstrip()[:1] in (">", "|"):

@@ -26,109 +26,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriate.llm.posts import own_paragraphs
+from seriate.operators.skew import look_up
 from seriate.session import materialize
 
 #: The lexicon is fitted on at most so many labelled posts, those with the least hash of their id.
 MAX_LABELLED = 20_000
 NONE = "none"
-#: A lexicon entry occurs in at least so many labelled posts and belongs to its subject by this share, given equally many posts of each.
-LEAST_POSTS, PURITY = 2, 0.7
-#: With more labelled posts than twice this number, a term needs one post in so many of them: names recur within a thread.
-RARE = 2_000
+#: A lexicon entry belongs to its subject by this share, given equally many posts of each, and by more than chance.
+PURITY, CHANCE = 0.7, 1.5
 
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+_STOP = re.compile(r"(?<=[.!?])\s+")
 #: Sentences this long at most are one vote; a longer text without stops is cut into stretches of so many words.
 STRETCH = 60
 
 
 def sentences(paragraph: str) -> Iterator[list[str]]:
-    for s in _SENTENCE.split(" ".join(paragraph.split("\n")) if len(paragraph) < 2000 else paragraph):
-        words = _WORD.findall(s.lower())
-        for at in range(0, len(words), STRETCH):
-            yield words[at : at + STRETCH]
-
-
-def terms(words: list[str]) -> set[str]:
+    """The words of each sentence; sentences may go on over line breaks."""
+    for s in _STOP.split(paragraph.lower()):
+        words = _WORD.findall(s)
+        if len(words) <= STRETCH:
+            if words:
+                yield words
+        else:
+            for at in range(0, len(words), STRETCH):
+                yield words[at : at + STRETCH]
+
+
+def terms(words: list[str]) -> set[str | tuple[str, str]]:
     """Words and pairs of neighbouring words; numbers say nothing."""
-    return {w for w in words if not w.isdigit()} | {f"{a} {b}" for a, b in zip(words, words[1:]) if not (a.isdigit() or b.isdigit())}
+    said = [None if w.isdigit() else w for w in words]
+    return {w for w in said if w} | {p for p in zip(said, said[1:]) if p[0] and p[1]}
 
 
 class Lexicon:
-    """Terms with their subject and weight, and how far kinds of sentences can be trusted."""
+    """Terms with their subject and weight, and how far kinds of sentences can be trusted.
+
+    A term enters if its posts are of its subject more often than chance would have it, given how many terms are tried: the excess over the
+    subject's share of all posts is over ``sqrt(CHANCE ln T)`` standard deviations, where ``T`` terms are tried (with a ``CHANCE`` of 2 hardly any of ``T``
+    terms that say nothing would reach it). The test is the same for any number of labels.
+    """
 
     def __init__(self, subjects: list[str], labelled: list[tuple[str | None, frozenset[str]]]):
         self.subjects = subjects
         classes = [*subjects, NONE]
         posts: Counter[str] = Counter()
-        seen: dict[str, Counter[str]] = defaultdict(Counter)
-        parsed = [([list(sentences(p)) for p in own_paragraphs(text)[0]], labels) for text, labels in labelled]
-        for paragraphs, labels in parsed:
+        seen: dict[str | tuple[str, str], Counter[str]] = defaultdict(Counter)
+        parsed = [([(s, terms(s)) for p in own_paragraphs(text)[0] for s in sentences(p)], labels) for text, labels in labelled]
+        for said, labels in parsed:
             if len(labels) != 1:
                 continue
             (label,) = labels
             posts[label] += 1
-            for t in set().union(*[terms(s) for p in paragraphs for s in p]):
+            for t in set().union(*[ts for _, ts in said]):
                 seen[t][label] += 1
-        self.terms: dict[str, tuple[str, float]] = {}
-        least = max(LEAST_POSTS, len(labelled) // RARE)
+        self.words: dict[str, tuple[str, float]] = {}
+        self.pairs: dict[str, dict[str, tuple[str, float]]] = {}
+        n_posts = sum(posts.values())
+        least = math.sqrt(CHANCE * math.log(max(2, len(seen))))
         for t, by in seen.items():
             n = sum(by.values())
-            if n < least:
-                continue
             rates = {c: (by[c] + 0.01) / (posts[c] + 1) for c in classes}
             best = max(classes, key=rates.__getitem__)
             purity = rates[best] / sum(rates.values())
-            if purity >= PURITY:
-                weight = min(4.0, math.log(purity / (1 - purity) if purity < 1 else 1e9)) * min(1.0, n / 4)
-                self.terms[t] = (best, weight * (2 if " " in t else 1))
+            if purity < PURITY:
+                continue
+            share = posts[best] / n_posts
+            if by[best] - n * share <= least * math.sqrt(n * share * (1 - share)):
+                continue
+            weight = min(4.0, math.log(purity / (1 - purity) if purity < 1 else 1e9)) * min(1.0, n / 4)
+            if isinstance(t, tuple):
+                self.pairs.setdefault(t[0], {})[t[1]] = (best, weight * 2)
+            else:
+                self.words[t] = (best, weight)
         # Kinds of sentences: of those with a term, how often the sentence's subject is one of the post's.
-        right: Counter[str] = Counter()
-        total: Counter[str] = Counter()
-        self.kinds: dict[str, float] = {}
-        for paragraphs, labels in parsed:
-            for p in paragraphs:
-                for s in p:
-                    subject = self.subject(s)
-                    if subject is None or subject == NONE:
-                        continue
-                    for t in terms(s):
-                        if " " in t and t not in self.terms:
-                            total[t] += 1
-                            right[t] += subject in labels
-        for t, n in total.items():
-            if n >= 5 and right[t] / n < 0.6:
-                self.kinds[t] = right[t] / n
+        right: Counter[tuple[str, str]] = Counter()
+        total: Counter[tuple[str, str]] = Counter()
+        self.kinds: dict[str, set[str]] = {}
+        for said, labels in parsed:
+            for s, ts in said:
+                subject = self.subject(s)
+                if subject is None or subject == NONE:
+                    continue
+                for t in ts:
+                    if isinstance(t, tuple) and t[1] not in self.pairs.get(t[0], ()):
+                        total[t] += 1
+                        right[t] += subject in labels
+        for (first, second), n in total.items():
+            if n >= 5 and right[first, second] / n < 0.6:
+                self.kinds.setdefault(first, set()).add(second)
 
     def subject(self, words: list[str]) -> str | None:
         """The subject that a sentence speaks of, if its terms agree enough."""
         score: dict[str, float] = {}
-        for t in terms(words):
-            hit = self.terms.get(t)
-            if hit:
-                score[hit[0]] = score.get(hit[0], 0.0) + hit[1]
+        alone, pairs = self.words, self.pairs
+        for w in set(words):
+            if w in alone:
+                subject, weight = alone[w]
+                score[subject] = score.get(subject, 0.0) + weight
+        hits = {(a, b) for a, b in zip(words, words[1:]) if a in pairs and b in pairs[a]}
+        for a, b in hits:
+            subject, weight = pairs[a][b]
+            score[subject] = score.get(subject, 0.0) + weight
         if not score:
             return None
-        best = max(score, key=score.__getitem__)
+        best = max(sorted(score), key=score.__getitem__)
         rest = sum(score.values()) - score[best]
         return best if score[best] > 2 and score[best] > 1.5 * rest else None
 
     def remark(self, words: list[str]) -> bool:
         """Whether the sentence is of a kind that mostly names things in passing."""
-        return any(f"{a} {b}" in self.kinds for a, b in zip(words, words[1:]))
+        kinds = self.kinds
+        return any(a in kinds and b in kinds[a] for a, b in zip(words, words[1:]))
 
     def levels(self, text: str | None) -> tuple[dict[str, tuple[int, int, int, int]], list[str]]:
         """Levels of lexicon, remark, opening and closing for each subject named in a post, and the post's hosts."""
         paragraphs, hosts = own_paragraphs(text)
         votes: list[tuple[int, str, bool]] = []
-        n = 0
-        numbered = [s for p in paragraphs for s in [list(sentences(p))] if s]
-        for i, p in enumerate(numbered):
-            for s in p:
+        n = last = 0
+        for p in paragraphs:
+            before = n
+            for s in sentences(p):
                 n += 1
                 subject = self.subject(s)
                 if subject:
-                    votes.append((i, subject, self.remark(s)))
+                    votes.append((last, subject, self.remark(s)))
+            last += n > before
         out = {}
         real = [v for v in votes if not v[2]]
         spoken = len(real) or 1
@@ -139,7 +162,7 @@ class Lexicon:
             lexicon = 0 if not firm else 1 + 4 * (min(firm, 3) - 1) + (share >= 0.2) + (share >= 0.4) + (share >= 0.75)
             remark = 0 if not passing else 1 if firm else 2 + (n <= 2) + 2 * (len(votes) == passing)
             opening = 1 + any(v[0] == 0 and v[1] == subject for v in real)
-            closing = 0 if len(numbered) < 2 else 1 + any(v[0] == len(numbered) - 1 and v[1] == subject for v in real)
+            closing = 0 if last < 2 else 1 + any(v[0] == last - 1 and v[1] == subject for v in real)
             out[subject] = (lexicon, remark, opening, closing)
         return out, hosts
 
@@ -199,7 +222,10 @@ def with_usual(levels: DataFrame) -> DataFrame:
     sets = out.select("hosts", "subject").distinct().withColumn("host", F.explode("hosts"))
     address = sets.join(each, ["host", "subject"]).groupBy("hosts", "subject").agg(F.max("level").alias("__address"))
     usual = _usual(levels, "source").select("source", "subject", F.col("level").alias("__source"))
-    out = out.join(address, ["hosts", "subject"], "left").join(usual, ["source", "subject"], "left")
+    # Most posts have no link, and one board or host may have a third of all posts.
+    linked = look_up(out.where(F.size("hosts") > 0), address, ["hosts", "subject"])
+    out = linked.unionByName(out.where("NOT coalesce(size(hosts) > 0, false)").withColumn("__address", F.lit(None).cast("int")))
+    out = look_up(out, usual, ["source", "subject"])
     return out.select("doc_id", "subject", *LEVELS[:4], F.coalesce("__address", F.lit(0)).alias("address"), F.coalesce("__source", F.lit(0)).alias("source"))
 
 
