@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import time
 from contextlib import contextmanager
 from pathlib import Path
@@ -153,7 +154,7 @@ class Engine:
         finally:
             self.show_order = show
         if s.into:
-            self.append(s.into, df)
+            self.append(s.into, snapshot(df))
             return None
         if s.outfile:
             arrays = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
@@ -169,8 +170,8 @@ class Engine:
             if s.if_not_exists:
                 return
             raise ValueError(f"table {s.name} exists")
-        if s.query is not None:
-            self.add_table(s.name, self.query(s.query))
+        if s.query is not None:  # a table is what the query gives now
+            self.add_table(s.name, snapshot(self.query(s.query)))
             return
         schema = T.StructType([T.StructField(n, T._parse_datatype_string(spark_type(t))) for n, t in s.columns])
         if self.keep_order:
@@ -208,6 +209,8 @@ class Engine:
 
     def x_insert(self, s: a.Insert) -> None:
         df = self.query(s.query)
+        if not isinstance(s.query, a.Values):
+            df = snapshot(df.toDF(*[c if c in self.hidden else f"{c}__{i}" for i, c in enumerate(df.columns)]))
         if s.columns:
             given = {c.lower(): n for c, n in zip(s.columns, df.columns)}
             fields = [f for f in self.table(s.table).schema if f.name not in self.hidden]
@@ -282,15 +285,21 @@ class Engine:
                 for st in parse(text):
                     self.execute(st)
                 continue
-            with self.scope() as names:
-                for key in self.frames:
-                    names[key] = self.view(key)
-                # Spark parses the text itself; its names of our tables are made known as views for the time.
-                for key, df in self.frames.items():
-                    df.drop(*self.hidden).createOrReplaceTempView(key.replace(".", "_"))
+            # Spark parses the text itself; its names of our tables are made known as views for the time, views of the user's own set aside.
+            said = {w.lower() for w in re.findall(r"\w+", text)}
+            views = {key.replace(".", "_"): df for key, df in self.frames.items() if key.replace(".", "_") in said}
+            there = {t.name.lower() for t in self.spark.catalog.listTables() if t.isTemporary} if views else set()
+            own = {name: self.spark.table(name) for name in views if name in there}
+            try:
+                for name, df in views.items():
+                    df.drop(*self.hidden).createOrReplaceTempView(name)
                 out = self.spark.sql(text)
-                for key in self.frames:
-                    self.spark.catalog.dropTempView(key.replace(".", "_"))
+            finally:
+                for name in views:
+                    if name in own:
+                        own[name].createOrReplaceTempView(name)
+                    else:
+                        self.spark.catalog.dropTempView(name)
         return out
 
     def x_ignored(self, s: a.Ignored) -> None:
@@ -379,3 +388,8 @@ def _over_series(call):
         return got if isinstance(got, pd.Series) else pd.Series(got)
 
     return run
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """The rows that a query gives now; columns without a type become text."""
+    return materialize(df.select(*[F.col(quote(f.name)).cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(quote(f.name)) for f in df.schema]), "table")

@@ -1,11 +1,11 @@
 """A random forest that learns as rows arrive, as a module for programs.
 
-Each tree sees a row as many times as a Poisson draw says (mean 6) and keeps a window of its latest rows, from which it is grown. The window widens while
+Each tree sees a row as many times as a Poisson draw says (mean 6) and keeps a window of its latest different rows, from which it is grown. The window widens while
 the tree's accuracy on new rows holds, and narrows when it falls; the tree's height is bounded by the logarithm of the window. Before a batch is
 learned, trees are tried on it: if the forest does significantly worse than before (a t-test), its worst trees are begun anew.
 
-Fitting takes at most ``WINDOW`` rows of a batch into a tree, whatever the table's size: that is what a tree keeps. Prediction runs on the
-executors, in Arrow batches.
+A tree keeps at most ``WINDOW`` rows, several batches. A call of ``fit`` or ``fit_inc`` learns from at most ``LEARNED`` rows, those with the least hashes of their
+places; rows are found and counted on the executors, and no more than these come to the driver. Prediction runs on the executors, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from seriate.plans.modules import module_function
 
-WINDOW, LEAST_WINDOW, BAGGING, BATCH = 4096, 64, 6.0, 2048
+WINDOW, LEAST_WINDOW, BAGGING, BATCH, LEARNED = 8192, 64, 6.0, 2048, 32_768
 IMPURITY = {0: "gini", 1: "entropy"}
 
 
@@ -57,7 +58,7 @@ class Tree:
     def __init__(self, classes: int, impurity: str, seed: int):
         self.classes, self.impurity = classes, impurity
         self.random = np.random.default_rng(seed)
-        self.x, self.y = None, None
+        self.x, self.y, self.times = None, None, None
         self.retain, self.accuracy = LEAST_WINDOW, None
         self.nodes: list[tuple] = []
 
@@ -76,20 +77,20 @@ class Tree:
         else:
             self.retain = min(WINDOW, max(self.retain, 2 * len(y)))
         times = self.random.poisson(BAGGING, len(y))
-        drawn = np.repeat(np.arange(len(y)), times)
-        self.random.shuffle(drawn)
-        x, y = x[drawn], y[drawn]
-        self.x = x if self.x is None else np.concatenate([self.x, x])
-        self.y = y if self.y is None else np.concatenate([self.y, y])
-        self.x, self.y = self.x[-self.retain :], self.y[-self.retain :]
+        drawn = np.flatnonzero(times)
+        x, y, times = x[drawn], y[drawn], times[drawn]
+        if self.x is not None:
+            x, y, times = np.concatenate([self.x, x]), np.concatenate([self.y, y]), np.concatenate([self.times, times])
+        self.x, self.y, self.times = x[-self.retain :], y[-self.retain :], times[-self.retain :]
         self.nodes = []
         self._grow(np.arange(len(self.y)), max(1, int(math.log2(max(2, self.retain)))))
 
     def _grow(self, rows: np.ndarray, height: int) -> int:
         at = len(self.nodes)
-        counts = np.bincount(self.y[rows], minlength=self.classes)
+        counts = np.bincount(self.y[rows], self.times[rows], self.classes)
+        n = counts.sum()
         self.nodes.append((-1, 0.0, 0, 0, int(counts.argmax())))
-        if height == 0 or len(rows) < 4 or counts.max() == len(rows):
+        if height == 0 or n < 4 or counts.max() == n:
             return at
         n_features = self.x.shape[1]
         best = None
@@ -99,9 +100,9 @@ class Tree:
             cuts = np.flatnonzero(v[1:] > v[:-1])
             if not len(cuts):
                 continue
-            left = np.cumsum(np.eye(self.classes)[classes], axis=0)[cuts]
+            left = np.cumsum(np.eye(self.classes)[classes] * self.times[rows][order, None], axis=0)[cuts]
             right = counts - left
-            score = (self._impurity(left) * left.sum(axis=1) + self._impurity(right) * right.sum(axis=1)) / len(rows)
+            score = (self._impurity(left) * left.sum(axis=1) + self._impurity(right) * right.sum(axis=1)) / n
             k = int(score.argmin())
             if best is None or score[k] < best[0]:
                 best = (score[k], f, (v[cuts[k]] + v[cuts[k] + 1]) / 2)
@@ -189,31 +190,38 @@ def newtree(df: DataFrame | None, trees: int, features: int, forget: float, clas
 
 @module_function("frame")
 def fit(df: DataFrame) -> bool:
-    """Learn from rows of features and class: at most ``WINDOW`` of them, those with the least hashes, in a batch."""
+    """Learn from rows of features and class in a batch: at most ``WINDOW`` of them, those with the least hashes."""
     x, y = _arrays(df.orderBy(F.xxhash64(*df.columns)).limit(WINDOW).collect())
     _forest().learn(x, y)
     return True
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """With each row's place in the frame, ``__place``: a number per partition, and the rows of the partitions before."""
+    there = df.withColumn("__id", F.monotonically_increasing_id())
+    part = F.call_function("shiftright", "__id", F.lit(33))
+    sizes = there.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(W.Window.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    joined = there.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return joined.withColumn("__place", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start")
+
+
 @module_function("frame")
 def fit_inc(df: DataFrame) -> bool:
-    """Learn from the rows after those already seen, in batches, a partition's rows at a time on the driver; false if there are none.
+    """Learn from the rows after those already seen, in batches; false if there are none.
 
-    Rows are counted in the order of the frame. A table that has become shorter is seen from its start again.
+    Rows are counted in the order of the frame, which has to give its earlier rows first (as tables do that are appended to). Of more than ``LEARNED`` new
+    rows so many are learned from, in their order. A table that has become shorter is seen from its start again.
     """
     n = df.count()
     if _STATE["seen"] > n:
         _STATE["seen"] = 0
     if _STATE["seen"] == n:
         return False
-    batch: list = []
-    for row in df.offset(_STATE["seen"]).toLocalIterator():
-        batch.append(row)
-        if len(batch) == BATCH:
-            _forest().learn(*_arrays(batch))
-            batch = []
-    if batch:
-        _forest().learn(*_arrays(batch))
+    new = _numbered(df).where(F.col("__place") >= _STATE["seen"])
+    rows = sorted(new.orderBy(F.xxhash64("__place")).limit(LEARNED).collect(), key=lambda r: r["__place"])
+    for at in range(0, len(rows), BATCH):
+        _forest().learn(*_arrays(rows[at : at + BATCH]))
     _STATE["seen"] = n
     return True
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from seriate.functions import vector as v
@@ -100,7 +101,7 @@ def spread(df: DataFrame, order: v.Order, vecs: list[Vec], partitions: int | Non
 
     # Totals of these segments, in one pass over their rows.
     columns = list(dict.fromkeys(x.column for x in vecs if x.column))
-    numeric = {c: dict(parts.dtypes)[c] not in ("string", "date", "timestamp", "timestamp_ntz", "boolean") for c in columns}
+    numeric = {c: isinstance(parts.schema[c].dataType, T.NumericType) for c in columns}
     nothing = F.lit(None).cast("double")
     sums = []
     for i, c in enumerate(columns):

@@ -115,6 +115,7 @@ class FuncRef:
     call: Call
     alias: str | None = None
     columns: tuple = ()
+    ordinality: bool = False
 
 
 @dataclass(frozen=True)

@@ -51,8 +51,23 @@ def inline(e, functions: dict[str, a.Function], depth: int = 0):
 
 
 #: What vector functions mean on an array, in the interpreter. Each follows the definitions in ``functions.vector``.
-def _prefix(x, w, f):
-    return np.array([f(x[max(0, i + 1 - w) if w else 0 : i + 1]) for i in range(len(x))], dtype=float)
+def _moving(whole, f):
+    """The function over prefixes, by ``whole``, or over the last ``w`` values: ``f`` of all windows at once, which hold fewer at the start."""
+
+    def run(x, w):
+        if w is None or w >= len(x):
+            return whole(x)
+        return np.concatenate([whole(x[: w - 1]), f(np.lib.stride_tricks.sliding_window_view(x, w), axis=1)])
+
+    return run
+
+
+def _prefix_var(x):
+    if not len(x):
+        return np.empty(0)
+    d, n = x - x[0], np.arange(1, len(x) + 1)
+    mean = np.cumsum(d) / n
+    return np.maximum(np.cumsum(d * d) / n - mean * mean, 0)
 
 
 def _ratios(x, w=1):
@@ -69,8 +84,8 @@ _ARRAY = {
     "sum": lambda x: np.sum(x), "avg": lambda x: np.mean(x) if np.size(x) else math.nan, "min": lambda x: np.min(x), "max": lambda x: np.max(x), "count": lambda x: np.size(x),
     "var": lambda x: np.var(x), "stddev": lambda x: np.std(x), "median": lambda x: np.median(x), "corr": lambda x, y: np.corrcoef(x, y)[0, 1],
     "first": lambda x: x[0], "last": lambda x: x[-1], "distinct": lambda x: np.unique(x),
-    "sums": _two(lambda x, w: np.cumsum(x) if w is None else _prefix(x, w, np.sum)), "avgs": _two(lambda x, w: _prefix(x, w, np.mean)), "mins": _two(lambda x, w: _prefix(x, w, np.min)),
-    "maxs": _two(lambda x, w: _prefix(x, w, np.max)), "vars": _two(lambda x, w: _prefix(x, w, np.var)), "stddevs": _two(lambda x, w: _prefix(x, w, np.std)),
+    "sums": _two(_moving(np.cumsum, np.sum)), "avgs": _two(_moving(lambda x: np.cumsum(x) / np.arange(1, len(x) + 1), np.mean)), "mins": _two(_moving(np.minimum.accumulate, np.min)),
+    "maxs": _two(_moving(np.maximum.accumulate, np.max)), "vars": _two(_moving(_prefix_var, np.var)), "stddevs": _two(_moving(lambda x: np.sqrt(_prefix_var(x)), np.std)),
     "ratios": lambda *args: _ratios(np.asarray(args[-1], float), int(args[0]) if len(args) == 2 else 1),
     "deltas": lambda x: np.diff(x, prepend=x[:1]), "prev": lambda x: np.concatenate([x[:1], x[:-1]]), "next": lambda x: np.concatenate([x[1:], x[-1:]]),
     "subvec": lambda x, s, e=None: x[int(s) : None if e is None else int(e)],

@@ -7,7 +7,9 @@ level in one pass over one window specification; aggregates; and what follows th
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import re
 
 import numpy as np
@@ -149,14 +151,32 @@ class Lowering:
             n, percent, ties = q.top
             if not percent and not ties:
                 return inner + self.tail(a.Select(**{**q.__dict__, "limit": a.Lit(n, "number")}))
-            place = f"{'rank' if ties else 'row_number'}() OVER (ORDER BY {order})"
-            most = f"ceil(__all * {n} / 100.0)" if percent else str(n)
-            inner = inner.replace("SELECT ", f"SELECT {place} AS __place, count(*) OVER () AS __all, ", 1)
-            return f"SELECT * EXCEPT (__place, __all) FROM ({inner}) WHERE __place <= {most} ORDER BY __place"
+            return f"SELECT * FROM {self.engine.register(self.first_rows(q, inner))}"
         keys = ", ".join(map(self.expr, q.distinct_on))
         inner = inner.replace("SELECT ", f"SELECT row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS __place, ", 1)
         return f"SELECT * EXCEPT (__place) FROM ({inner}) WHERE __place = 1" + (f" LIMIT {self.expr(q.limit)}" if q.limit is not None else "")
 
+    def first_rows(self, q: a.Select, inner: str) -> DataFrame:
+        """TOP with PERCENT or WITH TIES: by the rows' places in the order, which are found in segments if the table is long."""
+        n, percent, ties = q.top
+        keys = [f"__k{i}" for i in range(len(q.order))]
+        first = "".join(f"{self.expr(o.value)} AS {k}, " for o, k in zip(q.order, keys))
+        df = self.sql(inner.replace("SELECT ", f"SELECT {first}", 1))
+        n = math.ceil(df.count() * n / 100) if percent else int(n)
+        if not keys:
+            return df.limit(n)
+        # Where nulls go is a key of its own: false comes before true.
+        nulls = [(o.nulls or ("first" if o.up else "last")) == "last" for o in q.order]
+        df = df.withColumns({f"{k}n": F.col(k).isNull() if last else F.col(k).isNotNull() for k, last in zip(keys, nulls)})
+        by = [b for o, k in zip(q.order, keys) for b in ((f"{k}n", True), (k, o.up))]
+        placed = add_vectors(df, Order.of(*by), [Vec("__place", "position")])
+        out = placed.where(F.col("__place") < n)
+        if ties:
+            last = F.broadcast(placed.where(F.col("__place") == n - 1).select(*[F.col(k).alias(f"{k}l") for k in keys]))
+            same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}l")) for k in keys])
+            out = out.unionByName(placed.where(F.col("__place") >= n).join(last, same, "left_semi"))
+        return out.orderBy("__place").drop(*keys, *[f"{k}n" for k in keys], "__place")
+
     def tail(self, q) -> str:
         out = f" ORDER BY {', '.join(map(self.renderer().order, q.order))}" if q.order else ""
         out += f" LIMIT {self.expr(q.limit)}" if q.limit is not None else ""
@@ -186,6 +206,8 @@ class Lowering:
         if isinstance(s, a.SubRef):
             return f"({self.text(s.query)}){alias}{columns}"
         if isinstance(s, a.FuncRef):
+            if s.ordinality:  # numbers from 1, as the last column
+                return f"(SELECT * EXCEPT (pos), pos + 1 AS ordinality FROM {self.expr(s.call)}){alias}{columns}"
             return f"{self.expr(s.call)}{alias}{columns}"
         if isinstance(s, a.LateralView):
             return f"{self.source(s.source)} LATERAL VIEW {'OUTER ' if s.outer else ''}{self.expr(s.call)} {quote(s.alias)}{' AS ' + ', '.join(map(quote, s.columns)) if s.columns else ''}"
@@ -517,7 +539,15 @@ class _Stage:
             for c in todo:
                 if c.name not in VECTOR and c.name not in ("first", "last"):
                     self.value(done[c].parts[0], c)
-            exprs = [replace(e, lambda n: done.get(n) if isinstance(n, a.Call) else None) for e in exprs]
+            known = lambda n: done.get(n) if isinstance(n, a.Call) else None
+
+            def below(n):
+                """An outermost aggregate stays; what is in it is replaced."""
+                if not special(n) or n.name in VECTOR:
+                    return known(n)
+                return replace(n, lambda m: None if m is n else known(m))
+
+            exprs = [replace(e, below if top else known) for e, top in zip(exprs, keep_top)]
 
     def need_order(self) -> None:
         if not self.order.by:

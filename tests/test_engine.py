@@ -80,8 +80,7 @@ def test_series_too_long_for_a_task(engine, monkeypatch):
     """The same results when everything is worked on in segments and aggregates are joined back."""
     from seriate.operators import scan
 
-    monkeypatch.setattr(scan, "KEYED_BYTES", 0)
-    monkeypatch.setattr(scan, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(scan, "SMALL_BYTES", 0)
     monkeypatch.setattr(scan, "HOT_ROWS", 3)
     engine.run(STOCKS)
     assert rows(engine.sql("SELECT max(price-mins(price)) FROM stocks ASSUMING DESC timestamp")) == [(17,)]
