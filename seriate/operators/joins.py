@@ -45,7 +45,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     A range lies in at most two bins of the level whose bins are just longer than it; a point looks in the one bin of each level that has ranges. So it is a join
     of equal bins, whatever mixture of short and long ranges there is, and neither side is compared as a whole with the other.
     """
-    ends = ranges.withColumns({"__low": _number(ranges, low), "__high": _number(ranges, high)}).where("__low <= __high AND NOT isnan(__low) AND NOT isnan(__high)")
+    ends = _ranges(ranges, low, high).withColumns({"__low": _number(ranges, low), "__high": _number(ranges, high)})
     length, far = F.col("__high") - F.col("__low"), F.greatest(F.abs("__low"), F.abs("__high"))
     # Level of a power of two at least as long as the range, and not so fine that bins outgrow a long. Single values are looked up by their hashes.
     level = F.ceil(F.log2(length)).cast("int")
@@ -81,6 +81,12 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
 
     Either the left range begins within the right one, or the right one begins within the left one and after its start.
     """
-    begins = range_join(left, right, left_range[0], *right_range, by=by).where(F.col(left_range[0]) <= F.col(left_range[1]))
-    later = range_join(right, left, right_range[0], *left_range, by=[(y, x) for x, y in by], closed=(False, True)).where(F.col(right_range[0]) <= F.col(right_range[1]))
+    begins = range_join(_ranges(left, *left_range), right, left_range[0], *right_range, by=by)
+    later = range_join(_ranges(right, *right_range), left, right_range[0], *left_range, by=[(y, x) for x, y in by], closed=(False, True))
     return begins.unionByName(later)
+
+
+def _ranges(df: DataFrame, low: str, high: str) -> DataFrame:
+    """The rows that are ranges."""
+    a, b = _number(df, low), _number(df, high)
+    return df.where((a <= b) & ~F.isnan(a) & ~F.isnan(b))

@@ -29,6 +29,8 @@ VECTOR = {*RUNNING, *SHIFTED} - {"counts"}
 REDUCED = {"count", "sum", "avg", "min", "max", "var", "stddev", "corr", "median", "first", "last"}
 #: Other aggregates of Spark that a query may name.
 _MORE = {"approx_count_distinct", "percentile_approx", "percentile", "collect_list", "collect_set", "any_value", "bool_and", "bool_or", "count_if", "covar_pop", "covar_samp", "mode", "skewness", "kurtosis", "stddev_pop", "stddev_samp", "var_pop", "var_samp", "variance", "mean", "max_by", "min_by", "listagg", "string_agg", "array_agg", "percentile_cont", "percentile_disc", "regr_slope", "regr_r2", "regr_count", "bit_and", "bit_or", "bit_xor", "sum_distinct", "product"}
+#: Aggregates that a query may take of a value that is none of many.
+_OF_SCALAR = {"count", "sum", "avg", "min", "max", "var", "stddev", "median", "first", "last"}
 _ids = itertools.count()
 
 
@@ -94,6 +96,18 @@ class Lowering:
         kinds = {self.kind(c, keys) for c in children(e)}
         return next((k for k in ("vector", "reduced", "key") if k in kinds), "const")
 
+    def scalars(self, e, keys: list):
+        """Aggregates of what is one value already: its count is 1, its variance 0, anything else is the value."""
+        def one(n):
+            if not (self.is_reduced(n) and n.name in _OF_SCALAR and len(n.args) == 1 and n.filter is None):
+                return None
+            value = replace(n.args[0], one)
+            if self.kind(value, keys) != "reduced":
+                return a.Call(n.name, (value,), n.distinct, n.over, n.filter, n.nulls, n.within)
+            return {"count": a.Lit(1, "number"), "var": a.Lit(0, "number"), "stddev": a.Lit(0, "number")}.get(n.name, value)
+
+        return replace(e, one)
+
     @staticmethod
     def same(x, y) -> bool:
         if isinstance(x, a.Name) and isinstance(y, a.Name):
@@ -339,7 +353,8 @@ class Lowering:
 
     def select(self, q: a.Select) -> DataFrame:
         functions = self.engine.functions
-        x = lambda e: inline(e, functions)
+        group = [inline(k.value, functions) for k in q.group]
+        x = lambda e: self.scalars(inline(e, functions), group)
         items = [a.Item(x(i.value), i.alias or (None if isinstance(i.value, a.Star) else self.label(i.value))) for i in self.expand_stars(q)]
         keys = [a.Item(x(k.value), k.alias) for k in q.group]
         having = None if q.having is None else x(q.having)

@@ -85,14 +85,15 @@ def _frame(w: int | None) -> str:
 def _vector_query(name: str, function: str, w: int | None, far: bool, whole: bool = False) -> None:
     sql, digits = _RUNNING[function]
     over = _frame(w).replace("PARTITION BY user_id ", "") if whole else _frame(w)
-    # A part of a variance is hardly ever halfway between two rounded values.
-    scale = 997 if function == "vars" else 1
-    text = sql.format(over) + (f" / {scale}" if scale > 1 else "")
+    text = sql.format(over)
+    # Variances of whole numbers are often halfway between two rounded values; their logarithms aren't.
+    if function == "vars":
+        text, digits = f"ln(1 + {text})", 9
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         frame = whole_events(spark, sf) if whole else events(spark, sf)
         out = frame.vectors(_spread=far or None, x=(function, "v") if w is None else (function, w, "v")).rows()
-        return out.select("event_id", (F.round(F.col("x") / scale, digits) if digits else F.col("x")).alias("x"))
+        return out.select("event_id", (F.round(F.log1p("x") if function == "vars" else F.col("x"), digits) if digits else F.col("x")).alias("x"))
 
     run.__name__ = name
     query(f"WITH {_EV} SELECT event_id, {f'round({text}, {digits})' if digits else text} AS x FROM ev")(run)
@@ -166,7 +167,7 @@ def best_profit(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_EV}, m AS (SELECT v, min(v) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS low FROM ev) SELECT max(v - low) AS profit FROM m")
 def best_profit_global(spark: SparkSession, sf: str) -> DataFrame:
     """The best gain over the whole ordered table, in segments."""
-    return whole_events(spark, sf).vectors(low=("mins", "v")).reduce(profit=F.max(F.col("v") - F.col("low")))
+    return whole_events(spark, sf).vectors(_spread=True, low=("mins", "v")).reduce(profit=F.max(F.col("v") - F.col("low")))
 
 
 @query(f"WITH {_EV}, m AS (SELECT user_id, stddev_pop(v) {_frame(3)} AS s FROM ev) SELECT user_id, round(max(s), 4) AS most FROM m GROUP BY user_id")
@@ -442,7 +443,7 @@ _FORMS = {
     "text_json": (["events"], "SELECT event_id, CAST(get_json_object(props, '$.k') AS int) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"),
     "text_dates": (["orders"], "SELECT o_orderkey, CAST(CAST(date_trunc('month', o_orderdate) AS date) AS string) AS m, CAST(last_day(o_orderdate) AS string) AS l, date_format(o_orderdate, 'yyyy/MM') AS f, CAST(CAST(o_orderdate AS date) + INTERVAL 3 day AS string) AS t FROM orders", "SELECT o_orderkey, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS m, CAST(last_day(o_orderdate) AS VARCHAR) AS l, strftime(o_orderdate, '%Y/%m') AS f, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 day AS DATE) AS VARCHAR) AS t FROM orders"),
     "text_ordinality": (["nation"], "SELECT e, p FROM explode(array(7, 8, 9)) WITH ORDINALITY x (e, p)", "SELECT * FROM (VALUES (7, 1), (8, 2), (9, 3)) v(e, p)"),
-    "text_scalar_fallbacks": (["orders"], "SELECT max(avg(o_totalprice) - min(o_totalprice)) AS a, count(sum(o_custkey)) AS n FROM orders GROUP BY o_orderstatus", "SELECT avg(o_totalprice) - min(o_totalprice) AS a, 1 AS n FROM orders GROUP BY o_orderstatus"),
+    "text_scalar_fallbacks": (["orders"], "SELECT max(avg(o_totalprice) - min(o_totalprice)) AS a, count(sum(o_custkey)) AS n, sum(max(o_custkey)) + var(count(*)) AS s FROM orders GROUP BY o_orderstatus", "SELECT avg(o_totalprice) - min(o_totalprice) AS a, 1 AS n, max(o_custkey) AS s FROM orders GROUP BY o_orderstatus"),
     "text_constraints": ([], "CREATE TABLE t (a int PRIMARY KEY, b int NOT NULL DEFAULT 3, UNIQUE (b), CHECK (a > 0)); INSERT INTO t VALUES (1, 2), (3, 4); SELECT a, b FROM t", "SELECT * FROM (VALUES (1, 2), (3, 4)) v(a, b)"),
 }
 for _name, (_tables, _program, _sql) in _FORMS.items():

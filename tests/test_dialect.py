@@ -32,7 +32,12 @@ CASES = [
     ("SELECT c FROM t WHERE c SIMILAR TO '[xy]' AND c NOT RLIKE 'y' AND a IS NOT DISTINCT FROM 1", [("x",)]),
     ("SELECT CASE b WHEN 10 THEN 'ten' ELSE 'more' END AS w FROM t WHERE a < 4 ORDER BY a", [("ten",), ("ten",), ("more",)]),
     ("SELECT CAST(DATE '2020-01-31' + INTERVAL 1 month AS string) AS d", [("2020-02-29",)]),
-    ("SELECT p, e FROM explode(array(7, 8)) WITH ORDINALITY x (p, e) ORDER BY p", [(0, 7), (1, 8)]),
+    ("SELECT p, e FROM explode(array(7, 8)) WITH ORDINALITY x (e, p) ORDER BY p", [(1, 7), (2, 8)]),
+    ("SELECT ordinality, key, value FROM explode(map('a', 5)) WITH ORDINALITY x", [(1, "a", 5)]),
+    ("SELECT TOP 2 WITH TIES a, b FROM t ORDER BY b DESC NULLS LAST, c NULLS FIRST", [(5, 30), (4, 30)]),
+    ("SELECT TOP 3 WITH TIES b FROM t ORDER BY b", [(10,), (10,), (20,)]),
+    ("SELECT TOP 0 PERCENT a FROM t ORDER BY a", []),
+    ("SELECT c FROM t WHERE c SIMILAR TO 'x|z' AND NOT c SIMILAR TO '_y%'", [("x",), ("x",), ("z",)]),
     ("SELECT a, v FROM t LATERAL VIEW OUTER explode(array()) x AS v WHERE a = 1", [(1, None)]),
     ("SELECT x.a FROM t x JOIN t y USING (a) WHERE y.b > 10 ORDER BY x.a", [(3,), (4,), (5,)]),
     ("SELECT count(*) AS n FROM t a NATURAL JOIN t b", [(4,)]),
