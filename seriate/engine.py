@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from seriate.operators.fold import flatten
 from seriate.plans import ast as a
 from seriate.plans.lower import Lowering
-from seriate.plans.modules import ModuleFunction, load_module
+from seriate.plans.modules import ModuleFunction, load_module, table_function
 from seriate.plans.parser import parse
 from seriate.plans.render import quote, spark_type
 from seriate.session import materialize
@@ -142,6 +142,8 @@ class Engine:
     def prepare(self) -> None:
         """Functions that carry state are registered with what they know now."""
         for m in self.modules.values():
+            if m.kind == "table":
+                self.spark.udtf.register(m.name, table_function(m.call, spark_type(m.returns)))
             if m.kind in ("scalar", "rows"):
                 call = m.call() if m.kind == "rows" else m.call
                 self.spark.udf.register(m.name, F.pandas_udf(_over_series(call), T._parse_datatype_string(spark_type(m.returns))))

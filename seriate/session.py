@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, whole_files: int | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and survives the loss of executors.
 
-    The files go when the session's JVM ends. ``whole_files``: at most so many rows a file, and each file in one row group, so that it is read by one
+    The files go when the session's JVM ends, or with :func:`free`. ``whole_files``: at most so many rows a file, and each file in one row group, so that it is read by one
     task in the order in which it was written. ``by``: the same for the rows of each value of a column, which ``df`` has to hold in one partition, sorted by it.
     """
     spark = df.sparkSession
@@ -45,6 +46,16 @@ def materialize(df: DataFrame, name: str, whole_files: int | None = None, by: st
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free(spark: SparkSession) -> int:
+    """Delete the tables written so far to the shared folder; frames that still read them, not yet evaluated, can't be used any more. Returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return len(paths)

@@ -196,6 +196,8 @@ def test_modules(engine, tmp_path, monkeypatch):
     (tmp_path / "mymod.py").write_text(
         "from seriate.plans.modules import module_function\nimport pandas as pd\n"
         "def mydiv(a: pd.Series, b: pd.Series) -> pd.Series:\n    return a / b\n"
+        "@module_function('table')\ndef upto(n):\n    for i in range(n or 0):\n        yield i, i * i\n"
+        "@module_function('table')\ndef letters(s):\n    yield from s or ''\n"
         "@module_function('vector')\ndef spanof(x):\n    return float(x.max() - x.min())\n"
     )
     monkeypatch.syspath_prepend(str(tmp_path))
@@ -203,6 +205,10 @@ def test_modules(engine, tmp_path, monkeypatch):
     engine.run("LOAD MODULE FROM 'mymod' FUNCTIONS (mydiv(a:int, b:int) -> double, spanof(x:vecdouble) -> double)" + STOCKS)
     assert rows(engine.sql("SELECT spanof(price) AS s FROM stocks ASSUMING ASC timestamp")) == [(17.0,)]
     assert sorted(rows(engine.sql("SELECT mydiv(price, 2) AS h FROM stocks WHERE timestamp < 3"))) == [(7.5,), (9.5,)]
+    engine.run("LOAD MODULE FROM 'mymod' FUNCTIONS (upto(n:int) -> struct<i: int, square: int>, letters(s:string) -> string)")
+    assert rows(engine.sql("SELECT i, square FROM upto(3) u ORDER BY i")) == [(0, 0), (1, 1), (2, 4)]
+    assert sorted(rows(engine.sql("SELECT timestamp, square FROM stocks JOIN LATERAL upto(price) u WHERE timestamp < 3 AND i > 16"))) == [(2, 289), (2, 324)]
+    assert rows(engine.sql("SELECT value FROM letters('abc') l ORDER BY value DESC")) == [("c",), ("b",), ("a",)]
     with pytest.raises(ValueError, match="no function"):
         engine.run("LOAD MODULE FROM 'mymod' FUNCTIONS (absent(a:int) -> int)")
 
