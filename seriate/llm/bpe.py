@@ -184,23 +184,29 @@ class Encoded:
     def splice(self, start: int, end: int, new: str) -> Encoded:
         """Replace the characters ``start`` to ``end`` by ``new``."""
         text = self.text[:start] + new + self.text[end:]
-        # A word is decided by its characters and the two after it: the first that may change ends at start - 1 or later.
-        k, at = 0, 0
-        while k < len(self.words) and at + len(self.words[k]) + 1 < start:
-            at += len(self.words[k])
-            k += 1
-        # Old borders behind the edit, by their distance from the end: where a new border meets one, the rest is as before.
-        borders, rest = {}, len(self.text) - at
-        for j in range(k, len(self.words)):
-            if len(self.text) - rest >= end:
-                borders[rest] = j
-            rest -= len(self.words[j])
+        # A word is decided by its characters and the two after it: the first that may change ends at start - 1 or later. It is looked for from the nearer end.
+        if start < len(self.text) // 2:
+            k = at = 0
+            while k < len(self.words) and at + len(self.words[k]) + 1 < start:
+                at += len(self.words[k])
+                k += 1
+        else:
+            k, at = len(self.words), len(self.text)
+            while k and at + 1 >= start:
+                k -= 1
+                at -= len(self.words[k])
+        # Where a new border behind the edit meets an old one, the rest is as before.
+        j, old_at, moved = k, at, len(new) - (end - start)
         words, tables, tail = [], [], len(self.words)
         self.redone = 0
         for m in self.pattern.finditer(text, at):
-            if m.start() >= start + len(new) and (len(text) - m.start()) in borders:
-                tail = borders[len(text) - m.start()]
-                break
+            if m.start() >= start + len(new):
+                while j < len(self.words) and old_at < m.start() - moved:
+                    old_at += len(self.words[j])
+                    j += 1
+                if j < len(self.words) and old_at == m.start() - moved:
+                    tail = j
+                    break
             w = m.group()
             raw = w.encode()
             old = self.words[k + len(words)] if k + len(words) < len(self.words) else ""
@@ -213,6 +219,60 @@ class Encoded:
         self.words[k:tail], self.tables[k:tail] = words, tables
         return self
 
+    def flat(self) -> np.ndarray:
+        """The last token of each byte prefix of each word, one after the other: with the text, all there is to know."""
+        return np.fromiter((t for table in self.tables for t in table), np.int32)
+
+    @classmethod
+    def of(cls, vocab: Vocabulary, text: str, flat: np.ndarray, pattern: str = PATTERN) -> Encoded:
+        """From a text and its :meth:`flat` tables, without encoding anything."""
+        out = cls(vocab, pattern=pattern)
+        out.text, out.words = text, out.pattern.findall(text)
+        ends = np.cumsum([0, *[len(w.encode()) for w in out.words]])
+        if ends[-1] != len(flat):
+            raise ValueError("the tables are not those of the text")
+        out.tables = [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
+        return out
+
+
+_TABLES = {"text": pa.string(), "ids": pa.list_(pa.int32()), "tables": pa.list_(pa.int32())}
+_TABLES_SQL = "text string, ids array<int>, tables array<int>"
+
+
+def _of_rows(df: DataFrame, id_col: str, columns: list, one, path: str | None) -> DataFrame:
+    path = path or os.path.join(FOLDER, "byte_bpe_50k.json")
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                made = [one(vocab, *row) for row in zip(*[b.column(i).to_pylist() for i in range(1, b.num_columns)])]
+                cols = [[e.text for e in made], [e.ids() for e in made], [e.flat() for e in made]]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, _TABLES.values())]], names=[id_col, *_TABLES])
+
+    return df.select(F.col(id_col), *columns).mapInArrow(run, f"`{id_col}` {kind}, {_TABLES_SQL}")
+
+
+def encode_tables(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
+    """``id_col``, ``text``, ``ids`` and ``tables``, from which later appends and edits go on; a null text counts as empty. ``tables`` has a number for each byte."""
+    return _of_rows(df, id_col, [text_col], lambda vocab, text: Encoded(vocab, text or ""), path)
+
+
+def splice_column(df: DataFrame, id_col: str, start: str, end: str, new: str, path: str | None = None) -> DataFrame:
+    """Edits rows of :func:`encode_tables`: the characters ``start`` to ``end`` (columns; null: the end of the text, and negative ones 0) become those of ``new``.
+
+    Only words near the edit are encoded; the result has the same columns and is exactly that of encoding the new text. A null ``new`` adds nothing.
+    """
+    def one(vocab: Vocabulary, text: str | None, tables: list | None, a: int | None, b: int | None, more: str | None) -> Encoded:
+        e = Encoded.of(vocab, text or "", np.array(tables or [], np.int32))
+        size = len(e.text)
+        a = size if a is None else min(size, max(0, a))
+        return e.splice(a, size if b is None else min(size, max(a, b)), more or "")
+
+    return _of_rows(df, id_col, ["text", "tables", start, end, new], one, path)
+
 
 def encode_column(df: DataFrame, id_col: str, text_col: str, path: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every row; an empty list for an empty or null text. Rows with a null id keep it.

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriate.llm.bpe import encode_column
+from seriate.llm.bpe import encode_column, encode_tables, splice_column
 from seriate.llm.leaks import Leaks, find_leaks, without_leaks
 from seriate.llm.quantiles import build_sketches, merge_sketches, rank_bound, sketch_quantiles
 from seriate.llm.subjects import assign_subjects
 from seriate.llm.topn import top_n
 from seriate.operators.dedupe import once_per_id
+from seriate.operators.skew import look_up
 from seriate.session import materialize
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -93,6 +94,18 @@ def p7_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source").join(counts, "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def p7_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every post with the text of its parent after it, from the posts' own tables: only words near the seam and the added ones are encoded."""
+    docs = _table(spark, sf, "documents")
+    # One parent may have a third of all posts as replies.
+    parents = docs.select(F.col("doc_id").alias("parent_id"), F.concat(F.lit("\n"), "text").alias("more"))
+    joined = look_up(docs.select("doc_id", "text", "parent_id"), parents, ["parent_id"]).select("doc_id", "text", "more")
+    tables = encode_tables(joined.select(F.struct("doc_id", "more").alias("key"), "text"), "key", "text")
+    end = F.lit(None).cast("int")
+    appended = splice_column(tables.withColumns({"start": end, "end": end, "more": F.col("key.more")}), "key", "start", "end", "more")
+    return appended.select("key.doc_id", "ids")
+
+
 def _leaks(spark: SparkSession, sf: str) -> Leaks:
     return find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "eval_items"), "item_id", "passage", MIN_WORDS)
 
@@ -139,7 +152,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 _ONCE = "trips AS (SELECT trip_id, any_value(PULocationID) AS PULocationID, any_value(tpep_pickup_datetime) AS pickup, any_value(total_amount) AS total_amount, any_value(trip_distance) AS trip_distance, any_value(fare_amount) AS fare_amount FROM nyctx100 GROUP BY trip_id)"
 _VALUES = f"{_ONCE}, vals AS (SELECT CAST(PULocationID AS BIGINT) AS location_id, 'trip_distance' AS field_name, trip_distance AS x FROM trips UNION ALL SELECT CAST(PULocationID AS BIGINT), 'fare_amount', fare_amount FROM trips)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_within_bounds, p2_found, p7_ids, p7_lengths, p8_found, p8_spans, p8_leaked_items, p8_cleaned, p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_percentiles, p1_daily_sketches, p1_within_bounds, p2_found, p7_ids, p7_lengths, p7_appended, p8_found, p8_spans, p8_leaked_items, p8_cleaned, p9_found, p9_shares)}
 
 ORACLES = {
     "p1_within_bounds": f"WITH {_VALUES} SELECT location_id, field_name, percentile, count(*) AS n, TRUE AS within_bound FROM vals, (VALUES {', '.join(f"('{p}')" for p in PERCENTILES)}) AS p(percentile) WHERE x IS NOT NULL GROUP BY ALL",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriate.llm import leaks, queries
-from seriate.llm.bpe import FOLDER, Encoded, decode, encode, encode_column, vocabulary
+from seriate.llm.bpe import FOLDER, Encoded, decode, encode, encode_column, encode_tables, splice_column, vocabulary
 from seriate.llm.leaks import Automaton, decode_entities, leaked_spans, normal_words, placed_words, strip_tags, without_leaks
 from seriate.llm.posts import own_paragraphs, without_quotes
 from seriate.llm.subjects import LatentModel, assign_subjects, clean_labels, with_usual
@@ -79,6 +79,27 @@ def test_encode_column(spark):
     assert encode_column(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_splice_column(spark, library):
+    rows = [(1, "one two three", 4, 7, "2 and a half"), (2, None, None, None, "new"), (3, "", 0, 0, None), (4, "end", None, None, "ing of é"), (5, "cut here", -3, 99, ""), (None, "x" * 3000, 1500, 1501, " "), (6, "日本語 text", 1, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, more string").withColumn("tables", F.lit("clash"))
+    tables = encode_tables(df, "doc_id", "text")
+    edits = df.select(F.col("doc_id").alias("d"), "a", "b", "more")
+    got = splice_column(tables.join(edits, tables.doc_id.eqNullSafe(edits.d)), "doc_id", "a", "b", "more").collect()
+    want = {1: "one 2 and a half three", 2: "new", 3: "", 4: "ending of é", 5: "", None: "x" * 1500 + " " + "x" * 1499, 6: "日語 text"}
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert all(r["ids"] == library.encode(r["text"], add_special_tokens=False).ids for r in got)
+
+
+def test_appended_parents(spark, library):
+    docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    text = lambda d: docs[d]["text"] if d in docs else None
+    got = queries.p7_appended(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        more = text(docs[r["doc_id"]]["parent_id"])
+        assert r["ids"] == library.encode((text(r["doc_id"]) or "") + ("" if more is None else "\n" + more), add_special_tokens=False).ids
+
+
 def test_normal_words():
     assert normal_words("A&amp;amp;lt;b&amp;amp;gt;B c­ar <i>x</i>[B]y[/b]ﬁne Ⅷ _q_ 12,5") == ["a", "b", "car", "x", "y", "fine", "viii", "q", "12", "5"]
     assert normal_words(None) == normal_words("") == normal_words(" \n") == []
