@@ -218,14 +218,16 @@ def with_usual(levels: DataFrame) -> DataFrame:
     """Levels with those of address and source: 0 where nothing is known."""
     out = levels.where("subject IS NOT NULL")
     # A post speaks for each of its hosts, and the one that says most for the subject counts.
-    each = _usual(out.withColumn("host", F.explode("hosts")), "host")
-    sets = out.select("hosts", "subject").distinct().withColumn("host", F.explode("hosts"))
+    # Most posts have no link.
+    linked = out.where(F.size("hosts") > 0)
+    each = _usual(linked.withColumn("host", F.explode("hosts")), "host")
+    sets = linked.select("hosts", "subject").distinct().withColumn("host", F.explode("hosts"))
     address = sets.join(each, ["host", "subject"]).groupBy("hosts", "subject").agg(F.max("level").alias("__address"))
     usual = _usual(levels, "source").select("source", "subject", F.col("level").alias("__source"))
-    # Most posts have no link, and one board or host may have a third of all posts.
-    linked = look_up(out.where(F.size("hosts") > 0), address, ["hosts", "subject"])
+    # One board or host may have a third of all posts.
+    linked = look_up(linked, materialize(address, "addresses"), ["hosts", "subject"])
     out = linked.unionByName(out.where("NOT coalesce(size(hosts) > 0, false)").withColumn("__address", F.lit(None).cast("int")))
-    out = look_up(out, usual, ["source", "subject"])
+    out = look_up(materialize(out, "addressed"), materialize(usual, "sources"), ["source", "subject"])
     return out.select("doc_id", "subject", *LEVELS[:4], F.coalesce("__address", F.lit(0)).alias("address"), F.coalesce("__source", F.lit(0)).alias("source"))
 
 
