@@ -29,6 +29,8 @@ from seriate.session import materialize
 
 #: Words and items of an automaton, about (some 0.3 KB a word in a task; state sets of at most that many items).
 BLOCK_WORDS, BLOCK_ITEMS = 200_000, 2_000
+#: Documents of a block that one task follows, about.
+DOCUMENTS = 2_000
 #: Bits of the filter for a run of an item, and most bits of all: 16 MB. With more than a million different runs it lets more documents through to the exact search.
 RUN_BITS, MOST_BITS = 64, 1 << 27
 #: A document's runs are looked up in the filter at so many places; the runs of so many words of documents at a time.
@@ -297,11 +299,12 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     documents = flat.mapInArrow(_may_leak(shared, min_words), f"doc {kind.simpleString()}, text string, codes array<long>")
     documents = materialize(documents.withColumn("cid", F.monotonically_increasing_id()), "may_leak")
 
-    pairs = documents.select("cid", F.explode("codes").alias("code")).join(runs, "code").select("cid", "block").distinct()
-    # A block's documents are spread over several tasks, each with the items of the block.
-    salts = max(1, math.ceil(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) / blocks))
-    there = pairs.join(documents.select("cid", "doc", "text"), "cid").select("block", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int").alias("salt"), "cid", F.lit(None).cast("long").alias("item_id"), "doc", "text")
-    each = known.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("cid"), "item_id", F.lit(None).cast(kind).alias("doc"), F.col("words").alias("text"))
+    pairs = materialize(documents.select("cid", F.explode("codes").alias("code")).join(runs, "code").select("cid", "block").distinct(), "pairs")
+    # The documents of a block are spread over as many tasks as they need, each with the items of the block. A number for each block.
+    salts = F.broadcast(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / DOCUMENTS).cast("int").alias("salts")))
+    salted = pairs.join(salts, "block").select("cid", "block", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"))
+    there = salted.join(documents.select("cid", "doc", "text"), "cid").select("block", "salt", "cid", F.lit(None).cast("long").alias("item_id"), "doc", "text")
+    each = known.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("cid"), "item_id", F.lit(None).cast(kind).alias("doc"), F.col("words").alias("text"))
     # Items have no cid and so come before the documents.
     work = each.unionByName(there).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("cid").asc_nulls_first(), "item_id")
     spans = work.mapInArrow(_follow(min_words), f"cid long, `{doc_id}` {kind.simpleString()}, item_id long, first_word int, n_words int, doc_words int")

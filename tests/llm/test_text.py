@@ -146,6 +146,7 @@ def leak_tables(spark):
 @pytest.mark.parametrize("block", [200_000, 13])
 def test_leaks(spark, monkeypatch, block):
     monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
+    monkeypatch.setattr(leaks, "DOCUMENTS", 2)
     docs, items = leak_tables(spark)
     spans = leaked_spans(docs, "doc_id", "text", items, "item_id", "passage")
     got = {(r["doc_id"], r["item_id"]) for r in spans.collect()}
