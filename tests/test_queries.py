@@ -23,6 +23,6 @@ def test_ratios_of_all_users(spark):
     sf = "/root/testdata/sf0.001"
     users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct()
     assert {r[0] for r in QUERIES["text_max_prev_ratio_users"](spark, sf).select("user_id").collect()} == {r[0] for r in users.collect()}
-    assert QUERIES["text_max_prev_ratio_all"](spark, sf).first()[0] > 1
+    assert QUERIES["text_max_prev_ratio"](spark, sf).first()[0] > 1
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
-    assert QUERIES["where_value_range"](spark, sf).count() > orders / 10
+    assert QUERIES["where_range"](spark, sf).count() > orders / 10
