@@ -1,6 +1,6 @@
 """Implausible readings per source: robust autoregression with outlier and level-shift tests, stuck runs and physical limits.
 
-The series of a source are its readings in time order. Rows are range-partitioned by (source, time, id), so a source that holds a
+The series of a source are its readings in time order. Rows are range-partitioned by source, those of long series also by time and id, so a source that holds a
 third of all rows is spread over many tasks, each holding a stretch of its series. A stretch is processed as arrays; a source that lies in several
 is fitted over all of them (``_spread_cases``), so that the result does not depend on where the stretches are cut:
 
@@ -570,9 +570,11 @@ def implausible_readings(
         F.col(source).cast("long").alias("source"), F.col(time).alias("start"), F.col(row_id).cast("long").alias("id"),
         seconds.cast("double").alias("seconds"), *[F.nanvl(F.col(f.name).cast("double"), F.lit(None).cast("double")).alias(f"x{k}") for k, f in enumerate(fields)],
     )
-    # Copies of a row have the same key and so meet in one range partition; there they lie side by side. A partition is cut into stretches
-    # of bounded size, each a file.
-    parted = flat.repartitionByRange("source", "start", "id").sortWithinPartitions("source", "start", "id")
+    # Only sources with more rows than a stretch holds are divided among partitions; there can't be many, so they are looked up in a broadcast. Copies of a row
+    # have the same key and so meet in one range partition; there they lie side by side. A partition is cut into stretches of bounded size, each a file.
+    long = flat.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretch_rows).select("source", F.lit(True).alias("long"))
+    ranged = flat.join(F.broadcast(long), "source", "left").repartitionByRange("source", F.when(F.col("long"), F.col("start")), F.when(F.col("long"), F.col("id")))
+    parted = ranged.drop("long").sortWithinPartitions("source", "start", "id")
     parted = parted.withColumn("pid", F.spark_partition_id().cast("long"))
     stretch = materialize(parted.mapInArrow(_cut(stretch_rows), parted.schema), "stretches", whole_files=stretch_rows)
 
