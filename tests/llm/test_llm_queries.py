@@ -56,3 +56,12 @@ def test_subjects_of_held_out_labels(spark):
     hits = sum(len(got.get(d, set()) & w) for d, w in want.items())
     wrong, missed = sum(len(got.get(d, set()) - w) for d, w in want.items()), sum(len(w - got.get(d, set()) - {"none"}) for d, w in want.items())
     assert hits / (hits + wrong) > 0.9 and hits / (hits + missed) > 0.8
+
+
+def test_lengths_are_those_of_the_ids(spark):
+    ids = {r["doc_id"]: len(r["ids"]) for r in QUERIES["p7_ids"](spark, SF).collect()}
+    want = {}
+    for d, lang, source in duckdb.execute(f"SELECT doc_id, lang, source FROM '{SF}/documents.parquet'").fetchall():
+        n, tokens = want.get((lang, source), (0, 0))
+        want[lang, source] = n + 1, tokens + ids[d]
+    assert {(r["lang"], r["source"]): (r["n_docs"], r["n_tokens"]) for r in QUERIES["p7_lengths"](spark, SF).collect()} == want
